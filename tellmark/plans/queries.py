@@ -96,7 +96,7 @@ def merged(spark, d):
 
 @query
 def merge_corpora(spark, d):
-    return merged(spark, d)
+    return merged(spark, d).withColumn("rep_index", F.col("rep_index").cast("string"))
 
 
 @query
@@ -404,7 +404,7 @@ def pick_examples(spark, d):
     texts = v.corpus(spark, d)
     pool = ds.example_pool(texts, v.EXAMPLES, v.DESIGN.seed)
     return ds.pick_examples(v.manifest(spark, d), pool, texts, v.DESIGN.seed).select(
-        "cell_id", "rep_index", "real_id", "fake_id"
+        "cell_id", "rep_index", F.col("real_id").cast("string"), F.col("fake_id").cast("string")
     )
 
 
