@@ -9,6 +9,7 @@ from tellmark.functions import text as tx
 from tellmark.functions.hashing import hash_number, key_hash
 from tellmark.operators.audit import count_if
 from tellmark.plans.scaling import rank_cuts
+from tellmark.session import settle
 
 STYLE_FLAGS = {
     "starts_with_i": lambda c: tx.opener_word(c) == "i",
@@ -135,27 +136,31 @@ def opener_bootstrap(
 
     Draw i orders the reference by a hash of (seed, i, key) and takes the first n rows. The
     n-th hash is looked up per draw, and an opener is in the sample when its smallest hash
-    does not exceed it, so only (draw, opener) minima are shuffled, never the samples.
+    does not exceed it, so only (draw, opener) minima are shuffled, never the samples. The
+    texts are read once, into stored (key, opener) rows.
     """
-    sizes = (
-        gen.agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(reference.agg(F.count(F.lit(1)).alias("n"))).collect()
+    own = gen.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(tx.opener_word(F.col(text))).alias("openers")
+    ).first()
+    openers = settle(
+        reference.select(F.col(key).alias("_key"), tx.opener_word(F.col(text)).alias("opener"))
     )
-    if sizes[0]["n"] > sizes[1]["n"]:
+    n = own["n"]
+    if n > openers.count():
         raise ValueError("Cannot take a larger sample than population without replacement.")
-    n = sizes[0]["n"]
     drawn = (
-        reference.select(F.col(key).alias("_key"), tx.opener_word(F.col(text)).alias("opener"))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        openers.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_h", hash_number(key_hash(seed, F.col("draw"), F.col("_key")), 15))
     )
-    cuts = rank_cuts(drawn, "draw", "_h", {"cut": F.lit(n)}, F.shiftright("_h", 48))
+    cuts = drawn.sparkSession.createDataFrame(  # one row per draw
+        [(c["draw"], c["cut"]) for c in rank_cuts(drawn, "draw", "_h", {"cut": F.lit(n)}, F.shiftright("_h", 48))],
+        "draw int, cut long",
+    )
     seen = (
         drawn.groupBy("draw", "opener").agg(F.min("_h").alias("_first"))
-        .join(F.broadcast(cuts.select("draw", "cut")), "draw")
+        .join(F.broadcast(cuts), "draw")
         .where(F.col("_first") <= F.col("cut"))
     )
-    observed = gen.agg(F.countDistinct(tx.opener_word(F.col(text)))).scalar()
     return (
         seen.groupBy("draw").agg(F.count(F.lit(1)).alias("distinct"))
         .agg(
@@ -164,7 +169,7 @@ def opener_bootstrap(
         )
         .select(
             F.lit(n).cast("long").alias("n_sample"),
-            observed.alias("observed"), "lo", "hi",
+            F.lit(own["openers"]).cast("long").alias("observed"), "lo", "hi",
         )
         .withColumn("inside", F.col("observed").between(F.col("lo"), F.col("hi")).cast("int"))
     )

@@ -19,8 +19,9 @@ def stratified_split(
     """Add ``split``. Each class is ordered by a seeded hash of the key (unique per row);
     the first floor(n * train) rows train, the next floor(rest * val / (1 - train)) validate.
 
-    Only the hash values at the two cuts of each class are looked up, so assigning rows is a
-    comparison without a shuffle. The cut table has one row per listed class.
+    Only the hash values at the two cuts of each listed class are looked up first; they enter
+    the plan as literals, so assigning rows is a comparison inside the scan: no join, no
+    shuffle, and any later use of the frame costs no second lookup.
     """
     hashed = df.withColumn("_h", key_hash(spec.seed, F.col(key)))
     n_train = F.floor(F.col("n") * F.lit(spec.train))
@@ -28,17 +29,15 @@ def stratified_split(
     n_val = F.floor(rest * F.lit(spec.validation / (1.0 - spec.train)))
     cuts = rank_cuts(
         hashed.where(F.col(label).isin(*classes)),
-        label, "_h", {"_train": n_train, "_val": n_train + n_val},
-    ).drop("n")
-    name = (
-        F.when(F.col("_h") <= F.col("_train"), "train")
-        .when(F.col("_h") <= F.col("_val"), "validation")
-        .when(F.col(label).isin(*classes), "test")
-    )
-    return (
-        hashed.join(F.broadcast(cuts), label, "left")
-        .withColumn("split", name).drop("_h", "_train", "_val")
+        label, "_h", {"train": n_train, "val": n_train + n_val},
     )
+    name = F
+    for cut in cuts:  # one row per listed class
+        own = F.col(label) == cut[label]
+        for part, last in (("train", cut["train"]), ("validation", cut["val"])):
+            if last is not None:
+                name = name.when(own & (F.col("_h") <= last), F.lit(part))
+    return hashed.withColumn("split", name.when(F.col(label).isin(*classes), F.lit("test"))).drop("_h")
 
 
 def split_assignment(df: DataFrame, key: str = "id") -> DataFrame:

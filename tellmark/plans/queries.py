@@ -67,7 +67,7 @@ def null_audit(spark, d):
 def normalize_labels(spark, d):
     padded = v.corpus(spark, d).select(
         "id",
-        F.concat(F.lit("  \n"), "text", F.lit("\t　")).alias("text"),
+        F.concat(F.lit("\u00a0 \n"), "text", F.lit("\t\u3000")).alias("text"),
         F.when(F.col("id") % 2 == 0, F.upper("Binary_label")).otherwise(F.col("Binary_label")).alias("label"),
     )
     return audit.normalize_labels(padded).select("id", "text", "label", "y")
@@ -454,7 +454,7 @@ def term_frequency(spark, d):
 def fitted_terms(spark, d):
     rows = sp.stratified_split(v.corpus(spark, d))
     tf = tv.term_frequency(rows, keep=("split",))
-    n_train = rows.where(F.col("split") == "train").agg(F.count(F.lit(1)))
+    n_train = rows.where(F.col("split") == "train").count()
     return tf, tv.vocabulary(tf.where(F.col("split") == "train"), n_train, VectorSpec())
 
 
@@ -521,7 +521,7 @@ def external_model_eval(spark, d):
 
 SVM_GRID = {"C": [1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale"], "class_weight": ["balanced"]}
 TREES_GRID = {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}
-SVM = {"folds": 2, "dims": 256}
+SVM = {"folds": 2, "dims": 2048, "max_iter": 15}
 TREES = {"top_features": 256}
 
 
@@ -563,7 +563,7 @@ def train_boosted_trees(spark, d):
 @query
 def calibrate_scores(spark, d):
     feats = features(spark, d)
-    fitted = learn.train_svm(feats, feats.of("train"), {"C": 1.0, "class_weight": "balanced"}, folds=2)
+    fitted = learn.train_svm(feats, feats.of("train"), {"C": 1.0, "class_weight": "balanced"}, **SVM)
     return rounded(fitted.score(feats.of("validation")).select("id", "y", "score"))
 
 

@@ -85,40 +85,43 @@ def rank_cuts(
     order: str,
     cuts: dict[str, Column],
     bucket: Column | None = None,
-) -> DataFrame:
-    """Per group, the ``order`` value at each wanted rank, as one row with a column per cut.
+) -> list[dict]:
+    """Per group, the ``order`` value at each wanted rank: ``{group: .., cut: value, ..}``.
 
     ``cuts`` maps a name to an expression of ``n`` (rows in the group) giving the 1-based rank;
-    rank 0 gives null. ``bucket`` must rise with ``order``; the default is the first four digits
-    of a hex hash. Only rows of the bucket that holds a wanted rank are sorted, so the work is
-    one narrow count plus a sliver of the data. The caller bounds the number of groups: the
-    broadcast table has one row per group and cut.
+    rank 0 gives None. ``bucket`` must rise with ``order``; the default is the first four digits
+    of a hex hash. The first job counts buckets and finds the ones that hold a wanted rank;
+    the second ranks only the rows of those. What reaches the driver is one row per group and
+    cut, so the caller bounds the number of groups.
     """
     bucket = F.substring(F.col(order), 1, 4) if bucket is None else bucket
     keyed = df.select(group, order).withColumn("_bucket", bucket)
     whole = Window.partitionBy(group)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (
+    wanted = F.array(*[F.struct(F.lit(c).alias("cut"), e.cast("long").alias("k")) for c, e in cuts.items()])
+    hits = (
         keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_hi", F.sum("_n").over(upto))
         .withColumn("n", F.sum("_n").over(whole))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
-    wanted = F.array(*[F.struct(F.lit(k).alias("cut"), e.cast("long").alias("k")) for k, e in cuts.items()])
-    asked = (
-        edges.withColumn("_w", F.explode(wanted))
-        .select(group, "_bucket", "_lo", "_hi", "n", "_w.cut", "_w.k")
+        .withColumn("_w", F.explode(wanted))
+        .select(group, "_bucket", "_w.cut", (F.col("_w.k") - F.col("_hi") + F.col("_n")).alias("_r"), "_n")
+        .where((F.col("_r") > 0) & (F.col("_r") <= F.col("_n")))
+        .drop("_n")
     )
-    hit = asked.where((F.col("k") > F.col("_lo")) & (F.col("k") <= F.col("_hi")))
-    rows = keyed.join(
-        F.broadcast(hit.select(group, "_bucket").distinct()), [group, "_bucket"], "left_semi"
-    ).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(order)))
-    located = hit.join(rows, [group, "_bucket"]).where(F.col("_r") == F.col("k") - F.col("_lo"))
-    totals = edges.groupBy(group).agg(F.first("n").alias("n"))
-    picked = located.groupBy(group).agg(
-        *[F.max(F.when(F.col("cut") == name, F.col(order))).alias(name) for name in cuts]
+    found = hits.collect()
+    held = df.sparkSession.createDataFrame(found, hits.schema)
+    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(order))
+    rows = (
+        keyed.join(F.broadcast(held.select(group, "_bucket").distinct()), [group, "_bucket"], "left_semi")
+        .withColumn("_r", inside)
+        .join(F.broadcast(held), [group, "_bucket", "_r"])
+        .select(group, "cut", order)
+        .collect()
     )
-    return totals.join(picked, group, "left")
+    out = {h[group]: {group: h[group], **dict.fromkeys(cuts)} for h in found}
+    for row in rows:
+        out[row[group]][row["cut"]] = row[order]
+    return list(out.values())
 
 
 def running_totals(
