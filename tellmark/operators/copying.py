@@ -45,8 +45,10 @@ def ngram_contamination(
     """
     wanted = probe.select(F.explode(word_ngrams(F.col(text), n)).alias("gram")).distinct()
     grams = corpus.select(key, word_ngrams(F.col(text), n).alias("_g"))
+    # The outer form keeps the optimizer from testing the array for emptiness below, which
+    # would build every gram a second time; the semi join drops its nulls.
     positions = grams.select(
-        key, F.size("_g").cast("long").alias("n_grams"), F.explode("_g").alias("gram")
+        key, F.size("_g").cast("long").alias("n_grams"), F.explode_outer("_g").alias("gram")
     )
     found = guarded_join(positions, wanted, ["gram"], "left_semi", **join_options)
     return (

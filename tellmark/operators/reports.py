@@ -8,7 +8,7 @@ from tellmark import config as cfg
 from tellmark.functions import text as tx
 from tellmark.functions.hashing import hash_number, key_hash
 from tellmark.operators.audit import count_if
-from tellmark.plans.scaling import rank_cuts
+from tellmark.plans.scaling import fan_out, rank_cuts
 from tellmark.session import settle
 
 STYLE_FLAGS = {
@@ -149,7 +149,7 @@ def opener_bootstrap(
     if n > openers.count():
         raise ValueError("Cannot take a larger sample than population without replacement.")
     drawn = (
-        openers.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        fan_out(openers, "_key").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_h", hash_number(key_hash(seed, F.col("draw"), F.col("_key")), 15))
     )
     cuts = drawn.sparkSession.createDataFrame(  # one row per draw

@@ -4,7 +4,7 @@
 * ``exact_rank``     row numbers inside large groups, spread over hash buckets
 * ``rank_cuts``      the exact k-th smallest key per group without ranking the group
 * ``running_totals`` ordered cumulative sums without a one-partition window
-* ``spread``         work for every core when the input is a few files
+* ``spread``, ``fan_out``  work for every core when the input is a few files or partitions
 """
 
 from __future__ import annotations
@@ -167,3 +167,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def fan_out(stored: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of a stored frame that came out in fewer partitions, for work
+    that multiplies its rows."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores, key) if stored.rdd.getNumPartitions() < cores else stored
