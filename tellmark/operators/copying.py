@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tellmark.functions.text import word_ngrams
 from tellmark.plans.scaling import guarded_join
+from tellmark.session import settle
 
 
 def ngram_copy(df: DataFrame, a: str, b: str, n: int = 6, out: str = "n_copied") -> DataFrame:
@@ -43,7 +44,7 @@ def ngram_contamination(
     texts nor pairs of equal grams are ever formed. Within the broadcast limit the corpus does
     not shuffle before its per-text sums; beyond it, hot grams are salted.
     """
-    wanted = probe.select(F.explode(word_ngrams(F.col(text), n)).alias("gram")).distinct()
+    wanted = settle(probe.select(F.explode(word_ngrams(F.col(text), n)).alias("gram")).distinct())
     grams = corpus.select(key, word_ngrams(F.col(text), n).alias("_g"))
     # The outer form keeps the optimizer from testing the array for emptiness below, which
     # would build every gram a second time; the semi join drops its nulls.

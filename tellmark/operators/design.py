@@ -219,38 +219,44 @@ def pick_examples(
     manifest: DataFrame, pool: DataFrame, corpus: DataFrame, seed: int = 0, key: str = "id"
 ) -> DataFrame:
     """One real and one fake example per few-shot row: ids and stripped texts, '' where the
-    pool is empty. Zero-shot rows get neither.
+    pool is empty. Zero-shot rows get neither and take part in no join.
 
-    A row's pick is a rank computed from its own hash, so it meets the pool in an equi join on
-    that rank and never a pool's rows. The ranked pool (ids, not texts) is stored once; both
-    kinds and the group sizes read it.
+    A row's pick is a rank computed from its own hash. The distinct picks fetch their texts
+    first, by unique keys; the rows then take them through the guarded join, so a tiny pool
+    that a large part of the rows draws from makes no hot task. The ranked pool (ids, not
+    texts) is stored once; both kinds and the group sizes read it.
     """
     pool = settle(pool)
     sizes = settle(pool.select("pool", "scope", "length", "size").distinct())
-    out = manifest
+    own = sizes.withColumnsRenamed({"scope": "item", "size": "_own"})
+    whole = sizes.where(F.col("scope") == "").select("pool", "length", F.col("size").alias("_all"))
+    place = ["pool", "scope", "length", "rank"]
+    few_shot = F.col("example_mode") == "few_shot"
+    out = manifest.where(few_shot)
     for kind in ("real", "fake"):
         name = F.concat(F.lit("real_"), F.col("sentiment")) if kind == "real" else F.lit("fake")
-        wants = out.withColumn("pool", F.when(F.col("example_mode") == "few_shot", name))
-        own = sizes.withColumnRenamed("scope", "item").withColumnRenamed("size", "_own")
-        whole = sizes.where(F.col("scope") == "").select("pool", "length", F.col("size").alias("_all"))
-        placed = guarded_join(wants, own, ["pool", "item", "length"], "left")
-        placed = guarded_join(placed, whole, ["pool", "length"], "left")
-        size = F.coalesce(F.col("_own"), F.col("_all"))
+        wants = guarded_join(out.withColumn("pool", name), own, ["pool", "item", "length"], "left")
+        wants = guarded_join(wants, whole, ["pool", "length"], "left")
         draw = hash_number(key_hash(seed, F.col("cell_id"), F.col("rep_index"), kind), 8)
-        placed = placed.withColumn(
+        wants = wants.withColumn(
             "scope", F.when(F.col("_own").isNotNull(), F.col("item")).otherwise(F.lit(""))
-        ).withColumn("rank", F.pmod(draw, size) + 1)
-        ranked = pool.select("pool", "scope", "length", "rank", F.col("id").alias(f"{kind}_id"))
-        placed = placed.join(ranked, ["pool", "scope", "length", "rank"], "left")
+        ).withColumn("rank", F.pmod(draw, F.coalesce("_own", "_all")) + 1)
         texts = corpus.select(
             F.col(key).alias(f"{kind}_id"), tx.strip(F.col("text")).alias(f"{kind}_example")
         )
+        picked = (
+            wants.select(*place).distinct()
+            .join(pool.select(*place, F.col("id").alias(f"{kind}_id")), place)
+            .join(texts, f"{kind}_id")
+        )
         out = (
-            placed.join(texts, f"{kind}_id", "left")
+            guarded_join(wants, settle(picked), place, "left")
             .withColumn(f"{kind}_example", F.coalesce(f"{kind}_example", F.lit("")))
             .drop("pool", "scope", "rank", "_own", "_all")
         )
-    return out
+    no_text = {f"{kind}_example": F.lit("") for kind in ("real", "fake")}
+    rest = manifest.where(~few_shot).withColumns(no_text)
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 # ---- prompts --------------------------------------------------------------

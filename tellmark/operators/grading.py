@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tellmark import config as cfg
 from tellmark.config import AttemptSpec
 from tellmark.functions import text as tx
+from tellmark.plans.scaling import guarded_join
+from tellmark.session import settle
 
 
 def grade_attempts(
@@ -87,9 +89,9 @@ def remaining_work(manifest: DataFrame, done: DataFrame, by: str = "id") -> Data
         return manifest.join(done.select("cell_id", "rep_index"), ["cell_id", "rep_index"], "left_anti")
     if by != "count":
         raise ValueError("by must be 'id' or 'count'")
-    counts = done.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_done"))
+    counts = settle(done.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_done")))
     return (
-        manifest.join(counts, "cell_id", "left")
+        guarded_join(manifest, counts, ["cell_id"], "left")
         .where(F.col("rep_index") >= F.coalesce(F.col("_done"), F.lit(0)))
         .drop("_done")
     )
