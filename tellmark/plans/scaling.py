@@ -95,7 +95,7 @@ def rank_cuts(
     cut, so the caller bounds the number of groups.
     """
     bucket = F.substring(F.col(order), 1, 4) if bucket is None else bucket
-    keyed = df.select(group, order).withColumn("_bucket", bucket)
+    keyed = df.where(F.col(group).isNotNull()).select(group, order).withColumn("_bucket", bucket)
     whole = Window.partitionBy(group)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(c).alias("cut"), e.cast("long").alias("k")) for c, e in cuts.items()])
@@ -109,18 +109,19 @@ def rank_cuts(
         .drop("_n")
     )
     found = hits.collect()
-    held = df.sparkSession.createDataFrame(found, hits.schema)
+    # The wanted places are literals of the second job: rows outside them stop at the scan.
+    place = F.concat_ws(":", F.col(group).cast("string"), F.col("_bucket").cast("string"))
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(order))
     rows = (
-        keyed.join(F.broadcast(held.select(group, "_bucket").distinct()), [group, "_bucket"], "left_semi")
+        keyed.where(place.isin({f"{h[group]}:{h['_bucket']}" for h in found}))
         .withColumn("_r", inside)
-        .join(F.broadcast(held), [group, "_bucket", "_r"])
-        .select(group, "cut", order)
+        .where(F.concat_ws(":", place, "_r").isin({f"{h[group]}:{h['_bucket']}:{h['_r']}" for h in found}))
         .collect()
     )
+    at = {(r[group], r["_bucket"], r["_r"]): r[order] for r in rows}
     out = {h[group]: {group: h[group], **dict.fromkeys(cuts)} for h in found}
-    for row in rows:
-        out[row[group]][row["cut"]] = row[order]
+    for h in found:
+        out[h[group]][h["cut"]] = at[h[group], h["_bucket"], h["_r"]]
     return list(out.values())
 
 
