@@ -53,6 +53,7 @@ class PieceModel:
             else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.marked = np.array([not special[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.surface, self.surface_at, self.surface_len = self._table(text)
         self.digits, self.digits_at, self.digits_len = self._table([b"%d," % i for i in range(size)])
         self.words = WordTable(self.merge)
@@ -191,7 +192,10 @@ class PieceModel:
         Bytes that form no character become U+FFFD each."""
         out = take_ragged(self.surface, self.surface_at[ids], self.surface_len[ids]).tobytes()
         cuts = np.r_[0, np.cumsum(self.surface_len[ids])][bounds].tolist()
-        texts = [out[a:b].removeprefix(b" ") for a, b in zip(cuts, cuts[1:])]
+        shown = np.flatnonzero(self.surface_len[ids])
+        first = np.r_[shown, len(ids)][np.searchsorted(shown, bounds[:-1])]
+        marked = np.r_[self.marked[ids], False][first].tolist()
+        texts = [out[a + m : max(a + m, b)] if a < b else b"" for a, b, m in zip(cuts, cuts[1:], marked)]
         try:
             out.decode()
         except UnicodeDecodeError:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import langid, packing, pieces
+from tellmark.llm import langid, packing, pieces, substrings
 from tellmark.llm.common import held_out
 
 QUERIES = {}
@@ -28,6 +28,11 @@ def op1_language_id(spark, d):
     return langid.predict(docs, trees).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+@query
+def op2_substrings(spark, d):
+    return substrings.digests(table(spark, d, "documents"))
+
+
 @query
 def op7_pieces(spark, d):
     return pieces.digests(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
