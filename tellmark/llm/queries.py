@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import langid, packing, pieces, substrings
+from tellmark.llm import langid, neardup, neighbours, packing, pieces, substrings
 from tellmark.llm.common import held_out
 
 QUERIES = {}
@@ -33,11 +33,22 @@ def op2_substrings(spark, d):
     return substrings.digests(table(spark, d, "documents"))
 
 
+@query
+def op4_neighbours(spark, d):
+    rows = table(spark, d, "embeddings")
+    return neighbours.search(rows, F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op7_pieces(spark, d):
     return pieces.digests(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op8_near_duplicates(spark, d):
+    return neardup.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query
 def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
