@@ -9,6 +9,7 @@ that a node with many links is split over tasks instead of gathered in one.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tellmark.llm.common import stored
@@ -51,3 +52,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest reachable place after adding links between places, given labels so far."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            higher = label[label]
+            if (higher == label).all():
+                break
+            label = higher

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tellmark.llm import tiles
 from tellmark.llm.common import arrow, stored
-from tellmark.llm.components import components
+from tellmark.llm.components import components, merge_labels
 
 THRESHOLD = 0.93
 BLOCK_ROWS = 2048
@@ -111,20 +111,3 @@ def _linked(a: tiles.Block, b: tiles.Block, threshold: float, out: pa.Schema) ->
         ],
         schema=out,
     )
-
-
-def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable place after adding links between places, given labels so far."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label
-        a, b = a[apart], b[apart]
-        label = label.copy()
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            higher = label[label]
-            if (higher == label).all():
-                break
-            label = higher

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import langid, neardup, neighbours, packing, pieces, substrings
+from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings
 from tellmark.llm.common import held_out
 
 QUERIES = {}
@@ -39,6 +39,11 @@ def op4_neighbours(spark, d):
     return neighbours.search(rows, F.col("vec_id") % 20 == 0, 20)
 
 
+@query
+def op5_jaccard(spark, d):
+    return jaccard.near_duplicates(table(spark, d, "documents"))
+
+
 @query
 def op7_pieces(spark, d):
     return pieces.digests(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
