@@ -51,7 +51,7 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
     """Join on a unique key of ``right``. Its rows are counted: within ``BROADCAST_BYTES`` they
     are broadcast and ``left`` does not move, beyond it both sides shuffle."""
     if right.count() * row_bytes <= BROADCAST_BYTES:
@@ -151,10 +151,3 @@ def arrow(schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def spread(df: DataFrame, rows: int, per_task: int, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into tasks of about ``per_task`` rows, no fewer than the
-    session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-rows // per_task)), *keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings
+from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings, warc
 from tellmark.llm.common import held_out
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op2_substrings(spark, d):
     return substrings.digests(table(spark, d, "documents"))
 
 
+@query
+def op3_warc(spark, d):
+    return warc.round_trip(table(spark, d, "pages"))
+
+
 @query
 def op4_neighbours(spark, d):
     rows = table(spark, d, "embeddings")
