@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings, warc
-from tellmark.llm.common import held_out
+from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings, toxicity, warc
+from tellmark.llm.common import held_out, join_checked
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,17 @@ def op5_jaccard(spark, d):
     return jaccard.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op6_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    labels = table(spark, d, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    grammar = toxicity.learn(join_checked(docs.select("doc_id", "text"), labels, "doc_id", "inner", 16))
+    scored = toxicity.score(docs, grammar)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op7_pieces(spark, d):
     return pieces.digests(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
