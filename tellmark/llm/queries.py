@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import jaccard, langid, neardup, neighbours, packing, pieces, substrings, toxicity, warc
+from tellmark.llm import jaccard, langid, lines, neardup, neighbours, packing, pieces, substrings, toxicity, warc
 from tellmark.llm.common import held_out, join_checked
 
 QUERIES = {}
@@ -70,6 +70,11 @@ def op8_near_duplicates(spark, d):
     return neardup.near_duplicates(table(spark, d, "embeddings"))
 
 
+@query
+def op9_lines(spark, d):
+    return lines.digests(table(spark, d, "documents"))
+
+
 @query
 def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
