@@ -1,24 +1,58 @@
-"""From raw documents to packed sequences, one stored table after another."""
+"""From raw documents to packed sequences: five stages, each over all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
+shared folder and read again as the next stage's documents. All but the last return the columns of
+the documents. Null ids stay with their rows where a stage does not have to tell documents apart:
+line and near-duplicate stages need an id, and documents without one leave at the near-duplicate
+stage.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import langid, packing
-from tellmark.llm.common import scratch_path
+from tellmark.llm import jaccard, langid, lines, packing, substrings
+from tellmark.llm.common import boxed, free_name, join_checked, scratch_path, stored, unboxed
 
-#: No SQL follows trained language models or the packing; tests hold the stages against plain versions.
+#: No SQL follows trained language models, patience alignment or the packing; tests hold the stages
+#: against plain versions.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language: null texts and texts without letters.
+    """Drop documents without a language: null texts and texts without letters. The models learn
+    from the documents at hand whose language is known."""
+    trees = langid.train(docs)
+    if trees is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    lang = free_name(docs, "lang_found")
+    found = langid.attach(docs, trees, lang=lang, score=free_name(docs, "lang_score"))
+    return found.where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete lines aligned with an earlier document; documents that keep no line leave."""
+    left = free_name(docs, "lines_left")
+    return lines.clean(docs, left=left).where(F.col(left) > 0).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest document of each group of near duplicates."""
+    kept = jaccard.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stored(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
+    rows = boxed(docs, "text").withColumn("_kept", F.col("_row.doc_id").cast("long"))
+    rows = join_checked(rows, kept, "_kept", "inner", 32)
+    once = unboxed(rows.where("_rows = 1"), docs.columns, "text", F.col("_text"))
+    # rows that share an id: one of them stays
+    several = rows.where("_rows > 1").groupBy("_kept").agg(F.min(F.struct("_text", "_row")).alias("_one"))
+    return once.unionByName(unboxed(several.select("_one.*"), docs.columns, "text", F.col("_text")))
+
 
-    The models learn from the documents at hand whose language is known."""
-    found = langid.predict(docs, langid.train(docs))
-    known = found.where(found["lang_pred"] != langid.UNKNOWN).select("doc_id")
-    return docs.join(known.distinct(), "doc_id", "left_semi").select(*docs.columns)
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out word windows that also start earlier; documents that keep no word leave."""
+    left = free_name(docs, "words_left")
+    return substrings.clean(docs, left=left).where(F.col(left) > 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +62,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("lines", line_dedup),
+    ("near_duplicates", near_dedup),
+    ("substrings", substring_dedup),
     ("packing", packed),
 ]
 
