@@ -59,6 +59,25 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(right, on, how)
 
 
+def boxed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` as two columns, ``_text`` and ``_row`` with all others, so that columns which an
+    operator adds clash with none."""
+    return df.select(F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("_row"))
+
+
+def unboxed(df: DataFrame, columns: list[str], text: str, new_text: Column, *more: Column) -> DataFrame:
+    """The columns of before, in their order, with a new text, and more."""
+    return df.select(*[new_text.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns], *more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts that hold about ``limit`` characters each."""
     begin = size = 0

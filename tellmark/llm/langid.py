@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import WordTable, arrow, slices, sums_between
+from tellmark.llm.common import WordTable, arrow, boxed, slices, sums_between, unboxed
 
 DEPTH = 4
 SAMPLE_DOCS = 800
@@ -172,6 +172,26 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text", key: str =
     return source.mapInArrow(run, schema)
 
 
+def attach(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("struct<l string, s double>")
+    def classify(texts):
+        import pandas as pd
+
+        own, names, scores = [t if isinstance(t, str) else None for t in texts], [], []
+        table = _word_costs(shared.value)
+        for a, b in slices(own):
+            found = _classify(shared.value, table, own[a:b])
+            names += found[0].to_pylist()
+            scores += found[1].to_pylist()
+        return pd.DataFrame({"l": pd.Series(names, dtype=object), "s": pd.Series(scores, dtype=float)})
+
+    found = boxed(docs, text).withColumn("_found", classify("_text"))
+    return unboxed(found, docs.columns, text, F.col("_text"), F.col("_found.l").alias(lang), F.col("_found.s").alias(score))
+
+
 #: Word costs of the trees that this worker used last.
 _tables: dict[str, WordTable] = {}
 

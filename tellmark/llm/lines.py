@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import BROADCAST_BYTES, arrow, stored
+from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, stored, unboxed
 
 RARE_DOCS = 16
 BLOCK_WORDS = 5
@@ -175,7 +175,8 @@ def _with_deletions(docs: DataFrame, found: DataFrame, text: str, key: str) -> D
     found = found.select(
         F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("places").alias("_places"), F.lit(True).alias("_loses")
     )
-    rows = docs.withColumn("_doc", F.col(key).cast("long")).withColumn("_t", F.xxhash64(text))
+    rows = boxed(docs, text)
+    rows = rows.withColumn("_doc", F.col("_row").getField(key).cast("long")).withColumn("_t", F.xxhash64("_text"))
     return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, ["_doc", "_t"], "left")
 
 
@@ -192,8 +193,9 @@ def _kept(text: str | None, loses, places) -> tuple[str | None, int, int]:
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``kept_sha256`` (of what is left of the text)."""
-    rows = _with_deletions(docs.select(key, text), deletions(docs, text, key), text, key).select(key, text, "_loses", "_places")
-    schema = f"{key} {dict(rows.dtypes)[key]}, n_lines long, n_removed long, kept_sha256 string"
+    rows = _with_deletions(docs.select(key, text), deletions(docs, text, key), text, key)
+    rows = rows.select(F.col("_row").getField(key).alias(key), "_text", "_loses", "_places")
+    schema = f"{key} {dict(docs.dtypes)[key]}, n_lines long, n_removed long, kept_sha256 string"
     out = arrow(schema)
 
     def run(batches):
@@ -213,9 +215,8 @@ def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", left: str =
     def cut(texts, loses, places):
         import pandas as pd
 
-        kept = [_kept(t, x, p)[0] for t, x, p in zip(texts, loses.fillna(False), places)]
+        kept = [_kept(t, x, p)[0] for t, x, p in zip(texts, loses.eq(True), places)]
         return pd.DataFrame({"t": kept, "n": [sum(1 for x in (t or "").split("\n") if x.strip()) for t in kept]})
 
-    return rows.withColumn("_cut", cut(text, "_loses", "_places")).select(
-        *[F.col("_cut.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("_cut.n").alias(left)
-    )
+    rows = rows.withColumn("_cut", cut("_text", "_loses", "_places"))
+    return unboxed(rows, docs.columns, text, F.col("_cut.t"), F.col("_cut.n").alias(left))

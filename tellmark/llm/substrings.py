@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, slices, stored
+from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, slices, stored, unboxed
 
 WINDOW = 20
 #: Windows that one bucket holds on average.
@@ -92,7 +92,7 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Documents, windows of each, and starts, of windows in the order of (document, start)."""
+    """Documents, windows of each, and starts, of windows that lie together by document."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     steps = np.diff(starts.astype(np.int64), prepend=0)
     steps[first] = starts[first]
@@ -218,20 +218,20 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, text: str = "text",
     return stored(_intervals(_repeats(_requests(rows, window, buckets), buckets), window), "intervals")
 
 
-def _with_intervals(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def _with_intervals(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
     """All rows of ``docs`` with their intervals, which are broadcast where they are few."""
     size = found.agg(F.coalesce(F.sum(F.size("begins") * 8 + 48), F.lit(0)).alias("n")).first()["n"]
     lowest = F.lit(-(1 << 63)).cast("long")
-    rows = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), lowest))
+    rows = boxed(docs, text).withColumn("_key", F.coalesce(F.col("_row").getField(key).cast("long"), lowest))
     return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "_key", "left")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` (of kept words joined by a space)."""
     found = removal_intervals(docs, window, text, key)
-    rows = _with_intervals(docs.select(key, F.col(text).cast("binary").alias(text)), found, key)
-    rows = rows.select(key, text, "begins", "ends")
-    schema = f"{key} {dict(rows.dtypes)[key]}, n_words long, n_removed long, kept_sha256 string"
+    rows = _with_intervals(docs.select(key, F.col(text).cast("binary").alias(text)), found, text, key)
+    rows = rows.select(F.col("_row").getField(key).alias(key), "_text", "begins", "ends")
+    schema = f"{key} {dict(docs.dtypes)[key]}, n_words long, n_removed long, kept_sha256 string"
     out = arrow(schema)
 
     def run(batches):
@@ -255,7 +255,7 @@ def digests(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str
 def clean(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", left: str = "words_left") -> DataFrame:
     """``docs`` with repeated words, and the blanks behind them, cut out of ``text``; ``left``
     counts the words that stay. Texts that lose nothing are unchanged."""
-    rows = _with_intervals(docs, removal_intervals(docs, window, text, key), key)
+    rows = _with_intervals(docs, removal_intervals(docs, window, text, key), text, key)
 
     @F.pandas_udf("struct<t string, n long>")
     def cut(texts, begins, ends):
@@ -274,7 +274,5 @@ def clean(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str =
             n.append(len(at) - 1 - int(sum(b) - sum(a)))
         return pd.DataFrame({"t": kept, "n": n})
 
-    names = [c for c in docs.columns]
-    return rows.withColumn("_cut", cut(text, "begins", "ends")).select(
-        *[F.col("_cut.t").alias(c) if c == text else F.col(f"`{c}`") for c in names], F.col("_cut.n").alias(left)
-    )
+    rows = rows.withColumn("_cut", cut("_text", "begins", "ends"))
+    return unboxed(rows, docs.columns, text, F.col("_cut.t"), F.col("_cut.n").alias(left))

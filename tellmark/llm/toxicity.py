@@ -240,7 +240,8 @@ def learn(rows: DataFrame, label: str = "toxic", text: str = "text", key: str =
     alone = counts(_term_counts(bad, "_t", frozenset(weak), frozenset(strong)))
     strong += [t for t in weak if alone.get(t, 0) >= max(LEAST_TEXTS, 0.3 * toxic[t])]
     best = sorted(strong, key=lambda t: (-weight[t] * toxic[t], t))[:MOST_ENTRIES]
-    start = {w + "$": START_WEIGHT for w in INSULTS if w + "$" not in toxic and w + "$" not in clean}
+    start = {w + "$": START_WEIGHT for w in INSULTS if w + "$" not in clean}  # of the word list, what nothing speaks against
+    start |= {t: w for t, w in weight.items() if t in start and w > 0}
     grammar = Grammar({**start, **{t: weight[t] for t in best}})
     found = features(sample.select("_y", "_t"), grammar, "_t", "_y").toPandas()
     y = found["_y"].to_numpy()
