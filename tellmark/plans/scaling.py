@@ -4,24 +4,43 @@
 * ``exact_rank``     row numbers inside large groups, spread over hash buckets
 * ``rank_cuts``      the exact k-th smallest key per group without ranking the group
 * ``running_totals`` ordered cumulative sums without a one-partition window
-* ``spread``, ``fan_out``  work for every core when the input is a few files or partitions
+* ``spread``, ``fan_out``  work for every core when the input is one file or few partitions
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: A key with more rows than this is hot; at most so many of them are salted, AQE splits the others.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: lengths of strings and binaries, sums over the parts of nested values,
+    eight for anything else."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        parts = [value_bytes(value.getField(f.name), f.dataType) for f in kind.fields]
+        return reduce(lambda a, b: a + b, parts, F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        total = F.aggregate(value, F.lit(16).cast("long"), lambda acc, x: acc + value_bytes(x, kind.elementType))
+        return F.coalesce(total, F.lit(8).cast("long"))
+    if isinstance(kind, T.MapType):
+        halves = (F.map_keys(value), kind.keyType), (F.map_values(value), kind.valueType)
+        return reduce(lambda a, b: a + b, [value_bytes(v, T.ArrayType(k)) for v, k in halves])
+    return F.lit(8).cast("long")
 
 
 def frame_bytes(df: DataFrame) -> int:
-    """Bytes of a frame's values: string lengths plus eight per other field."""
-    sizes = [
-        F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(8)
-        for name, kind in df.dtypes
-    ]
+    """Bytes of a frame's values."""
+    sizes = [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     total = sizes[0]
     for size in sizes[1:]:
         total = total + size
@@ -35,20 +54,30 @@ def guarded_join(
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large ``left`` whose keys may be skewed with a smaller ``right``.
 
     ``right`` is measured; within ``max_bytes`` it is broadcast and ``left`` does not move.
-    Beyond that, ``right`` is repeated once per salt and ``left`` rows take the salt of their
-    own content, so one hot key spreads over ``salts`` tasks. Both give the same rows.
+    Beyond that, keys with more than ``hot_rows`` rows on the left are salted: their ``left`` rows
+    take the salt of their own content and only their ``right`` rows are repeated once per salt,
+    so a hot key spreads over ``salts`` tasks and the rest shuffles once. All ways give the same
+    rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     if frame_bytes(right) <= max_bytes:
         return left.join(F.broadcast(right), on, how)
     own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", own).join(spread, [*on, "_salt"], how).drop("_salt")
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = hot.select(*on, F.lit(True).alias("_hot")).limit(HOT_KEYS)
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    salted = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), own).otherwise(0)).drop("_hot")
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def exact_rank(
@@ -160,14 +189,10 @@ def running_totals(
     return out.drop("_range")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` when the input has fewer files than there are cores.
-
-    A small file is one task however heavy the text work on it. Inputs with files enough for
-    every core are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition by ``key`` into ``partitions``, for a small table that is one file and so
+    one task however heavy the text work on it. Without a number the table stays as it is."""
+    return df.repartition(partitions, key) if partitions else df
 
 
 def fan_out(stored: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tellmark.config import Design, ExampleSpec, PromptTemplates
 from tellmark.functions import text as tx
 from tellmark.operators import design as ds
 from tellmark.plans.scaling import spread
+from tellmark.session import FIXTURE_PARTITIONS
 
 DESIGN = Design()
 EXAMPLES = ExampleSpec(
@@ -38,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    dealt = spark.conf.get(FIXTURE_PARTITIONS, None)  # only local sessions set it
+    return spread(table(spark, sf_dir, "documents"), "doc_id", int(dealt) if dealt else None)
 
 
 def decorated(text: Column, number: Column) -> Column:
@@ -131,6 +133,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a sample of its own, so that some samples fail."""
+    by_turn = F.col("conv_id") * 100 + F.col("attempt_no") - 1
+    return attempts(spark, sf_dir).withColumn("conv_id", by_turn)
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two human classes (labelled documents) and assistant turns as the generated class."""
     human = corpus(spark, sf_dir).select(F.col("Binary_label").alias("class"), "id", "text")

@@ -1,11 +1,17 @@
-"""Session settings for local runs and the checkpoint folder of any session."""
+"""Session settings for local runs, and the shared folder of any session."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting of local sessions over fixture tables of one file: partitions that texts are dealt to.
+FIXTURE_PARTITIONS = "spark.tellmark.fixture.partitions"
+
+_written: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tellmark") -> SparkSession:
     spark = (
@@ -18,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tel
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(FIXTURE_PARTITIONS, str(shuffle_partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -25,28 +32,35 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tel
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder of its own, because there
-    every executor sees the driver's disk.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, a
+    folder under the warehouse, which all executors reach as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="tellmark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tellmark-shared"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session ended before the interpreter did
+            return
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from the written copy.
 
-    Used where several later jobs read one result: they read the stored files instead of
-    repeating the work, and losing an executor cannot lose them.
+    Used where several later jobs read one result: they read the stored columns that they need
+    instead of repeating the work, and losing an executor cannot lose them.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

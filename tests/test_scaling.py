@@ -20,12 +20,15 @@ def skewed(spark):
 def test_guarded_join_salted_equals_broadcast(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k3", 3), ("none", 4)], "key string, v int")
     small = guarded_join(skewed, right, ["key"], how)
-    large = guarded_join(skewed, right, ["key"], how, max_bytes=0, salts=7)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    large = guarded_join(skewed, right, ["key"], how, max_bytes=0, salts=7, hot_rows=100)
+    plain = guarded_join(skewed, right, ["key"], how, max_bytes=0)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_frame_bytes(spark):
     assert frame_bytes(spark.createDataFrame([("ab", 1), (None, 2)], "s string, n long")) == 18
+    nested = spark.createDataFrame([(["ab", None], {"k": "vvv"}, (b"1234", 2))], "a array<string>, m map<string,string>, s struct<b:binary,i:int>")
+    assert frame_bytes(nested) == (16 + 2) + (16 + 1 + 16 + 3) + (8 + 4 + 8)
 
 
 def test_exact_rank(spark, skewed):
