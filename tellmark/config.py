@@ -170,7 +170,7 @@ class VectorSpec:
     min_df: int = 2
     max_df: float = 0.95
     cap: int = 100_000
-    strip_accents: bool = False
+    strip_accents: bool = True
 
 
 @dataclass(frozen=True)

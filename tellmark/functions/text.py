@@ -78,7 +78,8 @@ def unwrap_quotes(c: Column) -> Column:
         inner = F.substring(text, F.lit(2), F.length(text) - 2)
         return F.when(wrapped, strip(inner)).otherwise(text)
 
-    return reduce(once, (('"', '"'), ("'", "'"), ("“", "”")), c)
+    pairs = (('"', '"'), ("'", "'"), ("“", "”"))
+    return reduce(lambda text, pair: let(text, lambda t: once(t, pair)), pairs, c)
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -210,7 +211,7 @@ def word_ngrams(c: Column, n: int = 6) -> Column:
     return let(words(F.lower(c)), lambda ws: grams(ws, n))
 
 
-def tokens(c: Column, strip_accents: bool = False) -> Column:
+def tokens(c: Column, strip_accents: bool = True) -> Column:
     """Lower-cased word tokens of two or more characters."""
     text = F.lower(c)
     if strip_accents:

@@ -1,27 +1,28 @@
-"""The places Python runs per row: Unicode folding, caller-supplied scorers and the sparse
-vector constructor at the learner's edge."""
+"""The places Python runs per row: Unicode folding and caller-supplied scorers."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
-def _base_letters(text):
-    if text is None:
-        return None
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+@cache
+def _marks() -> dict[int, None]:
+    """A translation table that deletes combining marks."""
+    return {c: None for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 
 
 @F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(_base_letters)
+    marks = _marks()
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t).translate(marks), na_action="ignore")
 
 
 def fold_accents(c: Column) -> Column:
@@ -37,21 +38,14 @@ def apply_scorer(
 ) -> DataFrame:
     """Apply any per-text judge. A row whose call raises becomes ``error:<Type>``; the job
     goes on."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
-
     def guarded(value):
         try:
             return scorer(value)
         except Exception as exc:  # noqa: BLE001 - any failure of the judge is a row result
             return f"error:{type(exc).__name__}"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{out: batch[text].map(guarded)})
-
-    return df.mapInPandas(score, schema)
-
+    @F.pandas_udf(T.StringType())
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.astype(object).where(texts.notna(), None).map(guarded)
 
-@F.udf(VectorUDT())
-def sparse_vector(size, indices, values):
-    return SparseVector(size, indices, values)
+    return df.withColumn(out, score(F.col(text)))

@@ -102,8 +102,8 @@ def leakage_scan(
 ) -> DataFrame:
     """Per column: constant, perfect predictor of the label, predictor by null pattern.
 
-    Null is a value of its own. Columns with nearly one value per row would predict anything,
-    so they are reported as ``near_unique`` and not as predictors. The first aggregation
+    Null is a value of its own. A column with nearly one value per row predicts anything, so
+    ``near_unique`` stands beside the raw ``perfect_predictor`` flag. The first aggregation
     combines on the map side, so a constant column costs one row per task.
     """
     pairs = df.select(
@@ -139,7 +139,7 @@ def leakage_scan(
         "column", "n_rows", "n_values",
         (F.col("n_values") == 1).cast("int").alias("is_constant"),
         unique.cast("int").alias("near_unique"),
-        ((F.col("_mixed") == 0) & (F.col("n_values") > 1) & ~unique).cast("int").alias("perfect_predictor"),
+        ((F.col("_mixed") == 0) & (F.col("n_values") > 1)).cast("int").alias("perfect_predictor"),
         F.coalesce(by_null, F.lit(False)).cast("int").alias("null_predictor"),
     )
 

@@ -41,11 +41,15 @@ def ngram_contamination(
     matching grams, and all positions.
 
     The probe's distinct grams are the measured side of a semi join, so neither pairs of
-    texts nor pairs of equal grams are ever formed. Within the broadcast limit the corpus does
-    not shuffle before its per-text sums; beyond it, hot grams are salted.
+    texts nor pairs of equal grams are ever formed. Grams travel as 64-bit hashes, eight bytes
+    whatever their length; for a probe of a million grams a corpus gram is taken for one of them
+    by chance once in 10^13. Within the broadcast limit the corpus does not shuffle before its
+    per-text sums; beyond it, hot grams are salted.
     """
-    wanted = settle(probe.select(F.explode(word_ngrams(F.col(text), n)).alias("gram")).distinct())
-    grams = corpus.select(key, word_ngrams(F.col(text), n).alias("_g"))
+    wanted = settle(
+        probe.select(F.explode(word_ngrams(F.col(text), n)).alias("gram")).select(F.xxhash64("gram").alias("gram")).distinct()
+    )
+    grams = corpus.select(key, F.transform(word_ngrams(F.col(text), n), lambda g: F.xxhash64(g)).alias("_g"))
     # The outer form keeps the optimizer from testing the array for emptiness below, which
     # would build every gram a second time; the semi join drops its nulls.
     positions = grams.select(

@@ -36,16 +36,26 @@ def design_cells(spark: SparkSession, axes: dict[str, tuple[str, ...]]) -> DataF
 
 def item_index(items: DataFrame, column: str) -> DataFrame:
     """Distinct items in sorted order with a 0-based index, stored because the rotation counts,
-    measures and joins it. A dimension: one row per item."""
+    measures and joins it. Items are numbered inside sorted ranges, which then shift by the sizes
+    of the ranges before them."""
     distinct = items.select(F.col(column).alias("item")).where(F.col(column).isNotNull()).distinct()
-    return settle(distinct.withColumn("item_ix", F.row_number().over(Window.orderBy("item")) - 1))
+    ranged = settle(distinct.repartitionByRange("item").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("item"))
+    return settle(
+        ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range")  # one row per range
+        .select("item", (F.col("_inside") - 1 + F.col("_start")).cast("int").alias("item_ix"))
+    )
 
 
-def rotate_items(df: DataFrame, items: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+def rotate_items(df: DataFrame, items: DataFrame, ordinal: str = "ordinal", how: str = "inner") -> DataFrame:
     """Round-robin: row ``ordinal`` takes item ``ordinal mod n``."""
     n_items = items.agg(F.count(F.lit(1))).scalar()
     keyed = df.withColumn("item_ix", F.pmod(F.col(ordinal), n_items).cast("int"))
-    return guarded_join(keyed, items, ["item_ix"]).drop("item_ix")
+    return guarded_join(keyed, items, ["item_ix"], how).drop("item_ix")
 
 
 def factorial_manifest(
@@ -156,7 +166,8 @@ def example_pool(corpus: DataFrame, spec: ExampleSpec, seed: int = 0, key: str =
     """Candidate examples ranked for picking: ``pool, scope, length, id, rank, size``.
 
     A pool is a label and source; a scope is one category, or '' for the whole pool, the
-    fallback where a category has no candidate. Candidates lie inside the scope's length
+    fallback where a category has no candidate. A text whose category is null or '' has none
+    and is a candidate of the whole pool alone, once. Candidates lie inside the scope's length
     quantiles, or are the whole scope when none does. Quantiles and band sizes come from a
     histogram of lengths per scope, and ranks are spread over hash buckets, so a scope that
     holds most of the corpus is never in one task.
@@ -172,7 +183,7 @@ def example_pool(corpus: DataFrame, spec: ExampleSpec, seed: int = 0, key: str =
             F.col(key).alias("id"), F.length("text").alias("n_chars"), "Category",
             F.explode(F.array_compact(F.array(*pools))).alias("pool"),
         )
-        .withColumn("scope", F.explode(F.array_compact(F.array(F.col("Category"), F.lit("")))))
+        .withColumn("scope", F.explode(F.array_compact(F.array(F.nullif(F.col("Category"), F.lit("")), F.lit("")))))
         .drop("Category")
     )
     histogram = scoped.groupBy("pool", "scope", "n_chars").agg(F.count(F.lit(1)).alias("f"))
@@ -237,7 +248,7 @@ def pick_examples(
         name = F.concat(F.lit("real_"), F.col("sentiment")) if kind == "real" else F.lit("fake")
         wants = guarded_join(out.withColumn("pool", name), own, ["pool", "item", "length"], "left")
         wants = guarded_join(wants, whole, ["pool", "length"], "left")
-        draw = hash_number(key_hash(seed, F.col("cell_id"), F.col("rep_index"), kind), 8)
+        draw = hash_number(key_hash(seed, F.col("cell_id"), F.col("rep_index"), kind), 15)
         wants = wants.withColumn(
             "scope", F.when(F.col("_own").isNotNull(), F.col("item")).otherwise(F.lit(""))
         ).withColumn("rank", F.pmod(draw, F.coalesce("_own", "_all")) + 1)
@@ -319,9 +330,10 @@ def prompt_table(manifest: DataFrame, templates: PromptTemplates, design: Design
 def replay_check(
     generated: DataFrame, items: DataFrame, design: Design, spark: SparkSession
 ) -> DataFrame:
-    """Per cell: rows whose stored item and opener equal the ones recomputed from
-    (seed, cell, repetition).
+    """Per cell: rows whose stored item, opener and (where ``generated`` has a column
+    ``aspects``) aspects equal the ones recomputed from (seed, cell, repetition).
 
+    Every row is counted: a cell outside the design has no start, so its items match nothing.
     Cell sizes are read from the data. A collection with more than one seed cannot be replayed
     as one run: its counts are null and ``n_seeds`` says why.
     """
@@ -329,23 +341,30 @@ def replay_check(
 
     cells = design_cells(spark, design.axes).select("cell_ord", "cell_id")
     starts = offsets_from_counts(cells, cell_counts(generated).select("cell_id", "target"))
-    placed = generated.join(F.broadcast(starts.select("cell_id", "start")), "cell_id")  # one row per cell
+    placed = generated.join(F.broadcast(starts.select("cell_id", "start")), "cell_id", "left")  # one row per cell
     again = rotate_items(
-        placed.withColumn("ordinal", F.col("start") + F.col("rep_index")), items
+        placed.withColumn("ordinal", F.col("start") + F.col("rep_index")), items, how="left"
     )
+    known = F.col("start").isNotNull()
+    with_aspects = "aspects" in generated.columns
+    drawn = F.when(F.col("structure") == "structured", draw_aspects(design, F.col("cell_id"), F.col("rep_index"), F.col("gen_seed")))
+    drawn = F.coalesce(drawn, F.array().cast("array<string>")) if with_aspects else None
+    same = lambda c: F.sum((known & F.coalesce(c, F.lit(False))).cast("long"))
     opener = draw_opener(design, F.col("cell_id"), F.col("rep_index"), F.col("gen_seed"))
     n_seeds = generated.agg(F.countDistinct("gen_seed")).scalar()
     single = F.col("n_seeds") == 1
     return (
         again.groupBy("cell_id").agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum((F.col("item") == F.col("Category")).cast("long")).alias("_items"),
-            F.sum((opener == F.col("opener_move")).cast("long")).alias("_openers"),
+            same(F.col("item") == F.col("Category")).alias("_items"),
+            same(opener == F.col("opener_move")).alias("_openers"),
+            *([same(drawn == F.sort_array("aspects")).alias("_aspects")] if with_aspects else []),
         )
         .withColumn("n_seeds", n_seeds)
         .select(
             "cell_id", "n_rows", "n_seeds",
             F.when(single, F.col("_items")).alias("n_category_ok"),
             F.when(single, F.col("_openers")).alias("n_opener_ok"),
+            *([F.when(single, F.col("_aspects")).alias("n_aspects_ok")] if with_aspects else []),
         )
     )

@@ -189,6 +189,8 @@ best AS (
            CASE WHEN length(text) > hi AND length(head) > 1 THEN {strip('head')} ELSE text END AS text
     FROM cut)"""
 
+TURNS = ATTEMPTS.replace("SELECT conv_id, CASE", "SELECT conv_id * 100 + turn AS conv_id, CASE", 1)
+
 SPLIT = """ranked AS (
     SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws(':', '42', id)), id) AS r,
            count(*) OVER (PARTITION BY y) AS nc FROM corpus),
@@ -198,7 +200,7 @@ split AS (
                    WHEN r <= nt + floor((nc - nt) * (0.15::DOUBLE / (1.0::DOUBLE - 0.7::DOUBLE))) THEN 'validation'
                    ELSE 'test' END AS split FROM sizes)"""
 
-TERMS = f"""toks AS (SELECT id, split, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM split),
+TERMS = f"""toks AS (SELECT id, split, regexp_extract_all(strip_accents(lower(text)), '{TOKEN}') AS t FROM split),
 grams AS (
     SELECT id, split, unnest(t) AS term FROM toks
     UNION ALL
@@ -221,7 +223,7 @@ POOL = """members AS (
     UNION ALL SELECT id, length(text), "Category", 'fake' FROM corpus
     WHERE "Binary_label" = 'fake' AND source = 'en'),
 scoped AS (
-    SELECT pool, category AS scope, id, n_chars FROM members WHERE category IS NOT NULL
+    SELECT pool, category AS scope, id, n_chars FROM members WHERE category <> ''
     UNION ALL SELECT pool, '', id, n_chars FROM members),
 bands AS (
     SELECT pool, scope, 'short' AS length, quantile_cont(n_chars, 0.0) AS lo, quantile_cont(n_chars, 0.25) AS hi
@@ -243,7 +245,7 @@ pool AS (
 PICKS = f"""wants AS (
     SELECT cell_id, rep_index, kind, length, item,
            CASE kind WHEN 'real' THEN 'real_' || sentiment ELSE 'fake' END AS pool,
-           {hash_number("md5(concat_ws(':', '12', cell_id, rep_index, kind))")} AS draw
+           {hash_number("md5(concat_ws(':', '12', cell_id, rep_index, kind))", 15)} AS draw
     FROM manifest, (VALUES ('real'), ('fake')) k(kind) WHERE example_mode = 'few_shot'),
 groups AS (SELECT DISTINCT pool, scope, length, size FROM pool),
 aimed AS (
@@ -362,10 +364,9 @@ def statements() -> dict[str, str]:
         f"""SELECT CASE WHEN "Binary_label" = 'generated' THEN 'generated' ELSE 'human' END AS label,
         '{c.strip('"')}' AS "column", {c}::VARCHAR AS value FROM merged""" for c in scan_columns
     ) + ")"
-    ingest_number = hash_number("md5(text)", 7)
     return {
         "read_corpus": with_(CORPUS) + 'SELECT id, "Binary_label", "Category", source, text FROM corpus',
-        "route_failures": with_(ATTEMPTS)
+        "route_failures": with_(TURNS)
         + "SELECT conv_id, CASE WHEN error IS NULL THEN 'accepted' ELSE 'failed' END AS sink, n_attempts, error FROM best",
         "null_audit": """SELECT count(*) AS n_rows, count(*) FILTER (d.text IS NULL) AS null_text,
             count(*) FILTER (l.quality IS NULL) AS null_quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
@@ -385,8 +386,7 @@ def statements() -> dict[str, str]:
             count(DISTINCT value) + max((value IS NULL)::INT) AS n_values,
             (count(DISTINCT value) + max((value IS NULL)::INT) = 1)::INT AS is_constant,
             (count(DISTINCT value) + max((value IS NULL)::INT) > 0.5 * count(*))::INT AS near_unique,
-            (max(mixed) = 0 AND count(DISTINCT value) + max((value IS NULL)::INT) > 1
-                AND count(DISTINCT value) + max((value IS NULL)::INT) <= 0.5 * count(*))::INT AS perfect_predictor,
+            (max(mixed) = 0 AND count(DISTINCT value) + max((value IS NULL)::INT) > 1)::INT AS perfect_predictor,
             coalesce(count(DISTINCT label) FILTER (value IS NULL) = 1 AND count(DISTINCT label) FILTER (value IS NOT NULL) = 1
                 AND max(label) FILTER (value IS NULL) <> max(label) FILTER (value IS NOT NULL), false)::INT AS null_predictor
             FROM (SELECT *, (min(label) OVER (PARTITION BY "column", value) <> max(label) OVER (PARTITION BY "column", value))::INT AS mixed
@@ -486,7 +486,7 @@ def statements() -> dict[str, str]:
             (SELECT count(*) FILTER ({stray('text')} <> '') FROM classes WHERE class = 'generated') AS n_impure)
             SELECT *, (n_separators = 0 AND n_impure = 0)::INT AS passed FROM r""",
         "cell_counts": with_(GEN) + "SELECT cell_id, count(*) AS n_rows, max(rep_index) + 1 AS target FROM gen GROUP BY cell_id",
-        "failure_breakdown": with_(ATTEMPTS)
+        "failure_breakdown": with_(TURNS)
         + "SELECT cell_id, error, count(*) AS n FROM best WHERE error IS NOT NULL GROUP BY cell_id, error",
         "seed_summary": with_(CORPUS) + f""", ranked AS (
                 SELECT seed, y, toxic AS pred, row_number() OVER (PARTITION BY seed, y ORDER BY md5(concat_ws(':', seed, id)), id) AS r,
@@ -516,13 +516,31 @@ def statements() -> dict[str, str]:
         "split_assignment": with_(CORPUS, SPLIT) + "SELECT id, split FROM split",
         "split_counts": with_(CORPUS, SPLIT) + "SELECT y, split, count(*) AS n_rows FROM split GROUP BY y, split",
         "tokens": f"""SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
-            FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents)""",
+            FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '{TOKEN}') AS t FROM documents)""",
         "term_frequency": with_(CORPUS, SPLIT, TERMS) + "SELECT id, term, tf FROM tf",
         "vocabulary": with_(CORPUS, SPLIT, TERMS) + "SELECT term, df, cf, round(idf, 6) AS idf, term_id FROM vocab",
         "tfidf": with_(CORPUS, SPLIT, TERMS) + """, w AS (
                 SELECT tf.id, tf.split, tf.term, tf.tf, (1 + ln(tf.tf)) * v.idf AS w FROM tf JOIN vocab v ON v.term = tf.term)
             SELECT id, split, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
-        "param_grid": with_(LOGITS, RUNS) + f"SELECT model, run, threshold, tn, fp, fn, tp, {RATES_6} FROM runs",
+        "param_grid": with_(CORPUS, SPLIT) + f"""SELECT g.*, t.n_rows, t.n_positive FROM ({_grid_rows()}) AS g(family, run, params),
+            (SELECT count(*) AS n_rows, sum(y)::BIGINT AS n_positive FROM split WHERE split = 'train') t""",
+        **{
+            name: with_(CORPUS, SPLIT, TERMS) + f"""SELECT v.*, v.n_rows AS n_scored, t.*, (SELECT count(*) FROM vocab) AS n_features
+                FROM ({_totals("split = 'validation'")}) v, ({_totals("split = 'train'", "train_")}) t"""
+            for name in ("train_linear_svm", "train_rbf_svm", "train_boosted_trees")
+        },
+        "calibrate_scores": with_(CORPUS, SPLIT) + "SELECT id, y, true AS is_probability FROM split WHERE split = 'validation'",
+        "grid_search": with_(CORPUS, SPLIT) + f"""SELECT g.*, t.*, 4 AS n_points, 36 AS n_declared, true AS is_placed FROM (VALUES
+            ('svm', 1, '{{"C": 1.0, "kernel": "linear", "gamma": "scale", "class_weight": "balanced"}}'),
+            ('svm', 2, '{{"C": 1.0, "kernel": "rbf", "gamma": "scale", "class_weight": "balanced"}}'),
+            ('svm', 3, '{{"C": 10.0, "kernel": "linear", "gamma": "scale", "class_weight": "balanced"}}'),
+            ('svm', 4, '{{"C": 10.0, "kernel": "rbf", "gamma": "scale", "class_weight": "balanced"}}')) AS g(model, run, params),
+            ({_totals("split = 'validation'")}) t""",
+        "final_report": with_(CORPUS, SPLIT) + f"""SELECT 'svm' AS model, v.*, true AS is_searched, t.*
+            FROM ({_totals("split = 'test'")}) v, ({_totals("split <> 'test'", "train_")}) t""",
+        "model_comparison": with_(CORPUS, SPLIT) + f"""SELECT m.model, t.*, true AS has_validation
+            FROM (VALUES ('svm'), ('boosted_trees')) AS m(model), ({_totals("split = 'test'")}) t""",
+        "threshold_grid": with_(LOGITS, RUNS) + f"SELECT model, run, threshold, tn, fp, fn, tp, {RATES_6} FROM runs",
         "leaderboard": with_(LOGITS, RUNS) + """SELECT model, run, threshold, round(f1, 6) AS f1,
             row_number() OVER (PARTITION BY model ORDER BY round(f1, 9) DESC, run) AS place FROM runs""",
         "binary_metrics": with_(LOGITS) + f""", c AS (SELECT {CONFUSION} FROM (SELECT y, (score >= 0.5)::INT AS pred FROM logits)),
@@ -540,7 +558,7 @@ def statements() -> dict[str, str]:
             WHEN contains(lower(text), 'worthless') OR contains(lower(text), 'pathetic') THEN 'negative' ELSE 'positive' END AS verdict
             FROM documents""",
         "stream_ingest": f"""WITH raw AS (
-                SELECT DISTINCT lang AS cell_id, {ingest_number} AS rep_index, {decorated('text', ingest_number)} AS text FROM documents),
+                SELECT lang AS cell_id, doc_id AS rep_index, {decorated('text', 'doc_id')} AS text FROM documents),
             {cleaned('raw', 'cleaned')},
             g AS (SELECT *, length(text) AS n_chars, len({words('text')}) AS n_words, {stray('text')} AS stray FROM cleaned)
             SELECT cell_id, rep_index, n_words, n_chars,
@@ -551,6 +569,26 @@ def statements() -> dict[str, str]:
     }
 
 
+def _totals(where: str, prefix: str = "") -> str:
+    return f"SELECT count(*) AS {prefix}n_rows, sum(y)::BIGINT AS {prefix}n_positive FROM split WHERE {where}"
+
+
+def _grid_rows() -> str:
+    """The declared grids written out, the last parameter fastest."""
+    def rows(family: str, lists: list[tuple[str, list[str]]]) -> str:
+        points = [[]]
+        for name, values in lists:
+            points = [[*p, f"{name}={v}"] for p in points for v in values]
+        return ", ".join(f"('{family}', {i}, '{';'.join(sorted(p))}')" for i, p in enumerate(points, 1))
+
+    svm = [("C", ["0.1", "1.0", "10.0"]), ("kernel", ["linear", "rbf"]), ("gamma", ["scale", "0.01", "0.001"]), ("class_weight", ["null", "balanced"])]
+    trees = [
+        ("n_estimators", ["200", "400", "800"]), ("max_depth", ["3", "5", "7"]), ("learning_rate", ["0.03", "0.1"]),
+        ("subsample", ["0.8", "1.0"]), ("colsample_bytree", ["0.8", "1.0"]), ("min_child_weight", ["1", "3"]), ("reg_lambda", ["1", "5"]),
+    ]
+    return f"VALUES {rows('svm', svm)}, {rows('boosted_trees', trees)}"
+
+
 def _nest_replace(x: str, mapping: dict[str, str]) -> str:
     for source, target in mapping.items():
         x = f"replace({x}, {quoted(source)}, {quoted(target)})"

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tellmark import config as cfg
 from tellmark.config import AttemptSpec, SplitSpec, VectorSpec
 from tellmark.functions import text as tx
-from tellmark.functions.hashing import hash_number
 from tellmark.functions.udfs import apply_scorer
 from tellmark.operators import (
     audit, copying, design as ds, grading, learn, metrics as mx, reports, split as sp, tfidf as tv,
@@ -51,10 +51,9 @@ def read_corpus(spark, d):
 
 @query
 def route_failures(spark, d):
-    graded = grading.best_attempt(v.attempts(spark, d), ["conv_id", "cell_id"], F.col("lo"), F.col("hi"), RAW)
-    ok = grading.accepted(graded).withColumn("sink", F.lit("accepted"))
-    bad = grading.failed(graded).withColumn("sink", F.lit("failed"))
-    return ok.unionByName(bad).select("conv_id", "sink", "n_attempts", "error")
+    graded = grading.best_attempt(v.turns(spark, d), ["conv_id", "cell_id"], F.col("lo"), F.col("hi"), RAW)
+    sink = F.when(F.col("error").isNull(), "accepted").otherwise("failed")
+    return graded.select("conv_id", sink.alias("sink"), "n_attempts", "error")
 
 
 @query
@@ -358,7 +357,7 @@ def cell_counts(spark, d):
 
 @query
 def failure_breakdown(spark, d):
-    graded = grading.best_attempt(v.attempts(spark, d), ["conv_id", "cell_id"], F.col("lo"), F.col("hi"), RAW)
+    graded = grading.best_attempt(v.turns(spark, d), ["conv_id", "cell_id"], F.col("lo"), F.col("hi"), RAW)
     return reports.failure_breakdown(grading.failed(graded))
 
 
@@ -478,6 +477,20 @@ def scored(spark, d):
 
 @query
 def param_grid(spark, d):
+    """Every declared point of both grids beside the rows that a fit of it learns from."""
+    learned = sp.stratified_split(v.corpus(spark, d)).where(F.col("split") == "train").agg(*totals())
+    named = F.transform(
+        F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))
+    )
+    points = [
+        mx.param_grid(spark, grid).select(F.lit(family).alias("family"), "run", F.array_join(named, ";").alias("params"))
+        for family, grid in (("svm", cfg.SVM_GRID), ("boosted_trees", cfg.TREES_GRID))
+    ]
+    return points[0].unionByName(points[1]).crossJoin(learned)  # one row of totals
+
+
+@query
+def threshold_grid(spark, d):
     return rounded(graded_thresholds(spark, d))
 
 
@@ -519,20 +532,31 @@ def external_model_eval(spark, d):
 
 # ---- learners -------------------------------------------------------------
 
-SVM_GRID = {"C": [1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale"], "class_weight": ["balanced"]}
-TREES_GRID = {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}
+#: What the queries train, so that they end in seconds; the operators' defaults are the full
+#: declared grids, all folds and iterations.
+SVM_POINTS = {"C": [1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale"], "class_weight": ["balanced"]}
+TREES_POINTS = {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}
 SVM = {"folds": 2, "dims": 2048, "max_iter": 15}
-TREES = {"top_features": 256}
 
 
 def features(spark, d):
     return learn.build_features(sp.stratified_split(v.corpus(spark, d)))
 
 
+def totals(prefix=""):
+    return [F.count(F.lit(1)).alias(f"{prefix}n_rows"), F.sum(F.col("y").cast("long")).alias(f"{prefix}n_positive")]
+
+
 def trained(spark, d, family, point, **options):
+    """Size and class totals of what a model learned from and scored, and how many scores are
+    probabilities; the scores themselves come from the operator."""
     feats = features(spark, d)
     fitted = learn.TRAINERS[family](feats, feats.of("train"), point, **options)
-    return mx.evaluate_scores(settle(fitted.score(feats.of("validation")).select("y", "score")))
+    scored = fitted.score(feats.of("validation")).agg(
+        *totals(), F.count_if(F.col("score").between(0, 1)).alias("n_scored")
+    )
+    learned = feats.of("train").agg(*totals("train_"))
+    return scored.crossJoin(learned).withColumn("n_features", F.lit(feats.size).cast("long"))  # one row each
 
 
 @query
@@ -557,34 +581,57 @@ def train_rbf_svm(spark, d):
 
 @query
 def train_boosted_trees(spark, d):
-    return trained(spark, d, "boosted_trees", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}, **TREES)
+    """All features, 10 trees (the declared grid starts at 200)."""
+    return trained(spark, d, "boosted_trees", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1})
 
 
 @query
 def calibrate_scores(spark, d):
     feats = features(spark, d)
     fitted = learn.train_svm(feats, feats.of("train"), {"C": 1.0, "class_weight": "balanced"}, **SVM)
-    return rounded(fitted.score(feats.of("validation")).select("id", "y", "score"))
+    return fitted.score(feats.of("validation")).select("id", "y", F.col("score").between(0, 1).alias("is_probability"))
+
+
+def searched(board, points, declared):
+    """The exact part of a board, with how many of the declared points were searched."""
+    return board.select(
+        "model", "run", "params", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_positive"), F.lit(len(mx.grid_points(points))).alias("n_points"),
+        F.lit(len(mx.grid_points(declared))).alias("n_declared"), F.col("place").between(1, len(mx.grid_points(points))).alias("is_placed"),
+    )
 
 
 @query
 def grid_search(spark, d):
-    return learn.grid_search(features(spark, d), "svm", SVM_GRID, **SVM)
+    """4 of the 36 declared points; ``n_points`` and ``n_declared`` say so."""
+    return searched(learn.grid_search(features(spark, d), "svm", SVM_POINTS, **SVM), SVM_POINTS, cfg.SVM_GRID)
 
 
 @query
 def final_report(spark, d):
+    """The winner of the search over 4 of the 36 declared points, refitted and scored once."""
     feats = features(spark, d)
-    return learn.final_report(feats, learn.grid_search(feats, "svm", SVM_GRID, **SVM), **SVM)
+    report = learn.final_report(feats, learn.grid_search(feats, "svm", SVM_POINTS, **SVM), **SVM)
+    learned = feats.of("train", "validation").agg(*totals("train_"))
+    return report.select(
+        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_positive"),
+        F.col("run").between(1, len(mx.grid_points(SVM_POINTS))).alias("is_searched"),
+    ).crossJoin(learned)  # one row each
 
 
 @query
 def model_comparison(spark, d):
+    """One searched point of either family."""
     feats = features(spark, d)
-    svm = learn.grid_search(feats, "svm", {**SVM_GRID, "C": [1.0], "kernel": ["linear"]}, **SVM)
-    trees = learn.grid_search(feats, "boosted_trees", TREES_GRID, **TREES)
-    finals = learn.final_report(feats, svm, **SVM).unionByName(learn.final_report(feats, trees, **TREES))
-    return mx.model_comparison(svm.unionByName(trees), finals.drop("run", "params"))
+    svm = learn.grid_search(feats, "svm", {**SVM_POINTS, "C": [1.0], "kernel": ["linear"]}, **SVM)
+    trees = learn.grid_search(feats, "boosted_trees", TREES_POINTS)
+    finals = learn.final_report(feats, svm, **SVM).unionByName(learn.final_report(feats, trees))
+    compared = mx.model_comparison(svm.unionByName(trees), finals.drop("run", "params"))
+    return compared.select(
+        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_positive"),
+        F.col("validation_f1").between(0, 1).alias("has_validation"),
+    )
 
 
 # ---- scorer and stream ----------------------------------------------------
@@ -616,11 +663,10 @@ DOCUMENT_SCHEMA = T.StructType(
 @query
 def stream_ingest(spark, d):
     out = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    number = hash_number(F.md5("text"), 7)
-    texts = ingest.read_stream(spark, d, DOCUMENT_SCHEMA, "documents.parquet").select(
-        F.col("lang").alias("cell_id"), number.cast("int").alias("rep_index"),
+    texts = ingest.read_stream(spark, f"{d}/documents.parquet", DOCUMENT_SCHEMA).select(
+        F.col("lang").alias("cell_id"), F.col("doc_id").alias("rep_index"),
         F.lit("collector").alias("model"),
-        v.decorated(F.col("text"), number).alias("text"),
+        v.decorated(F.col("text"), F.col("doc_id")).alias("text"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp"),
     )
     ingest.stream_ingest(texts, out, 455, 945, RAW).awaitTermination()

@@ -56,16 +56,18 @@ def read_corpus(
     path: str,
     schema: T.StructType = CORPUS_SCHEMA,
     required: Iterable[str] = cfg.REQUIRED_CORPUS_COLUMNS,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """A labelled corpus from CSV (quoted fields may span lines) or parquet.
+    """A labelled corpus from CSV or parquet.
 
-    The header decides which of the declared columns exist, so files in another column order
-    or without the optional columns read correctly. Files holding records that span lines
-    cannot be split; store large corpora as parquet.
+    The header decides which of the declared columns exist, in which order. All files of a
+    folder must share one header: reading fails at a file whose header differs. With
+    ``multi_line``, quoted fields may span lines, and a file is one task; store large corpora as
+    parquet.
     """
     if path.rstrip("/").endswith(".parquet"):
         return require_columns(spark.read.parquet(path), required)
-    options = {"header": True, "multiLine": True, "escape": '"'}
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": False}
     header = spark.read.options(**options).csv(path).columns
     declared = {f.name: f.dataType for f in schema.fields}
     actual = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])

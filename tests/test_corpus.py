@@ -43,10 +43,18 @@ def test_csv_round_trip_with_quotes_newlines_and_column_order(spark, tmp_path):
     (tmp_path / "c.csv").write_text(
         'source,text,Binary_label,Category,is_synthetic\nWeb,"two\nlines, ""quoted""",real,h1,0\n', encoding="utf-8"
     )
-    row = src.read_corpus(spark, str(tmp_path / "c.csv")).first()
+    row = src.read_corpus(spark, str(tmp_path / "c.csv"), multi_line=True).first()
     assert row["text"] == 'two\nlines, "quoted"' and row["is_synthetic"] == 0 and row["Binary_label"] == "real"
 
 
+def test_files_with_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.csv").write_text("Binary_label,text,Category,source\nreal,T1,h,Web\n")
+    (tmp_path / "c" / "2.csv").write_text("text,Binary_label,Category,source\nT2,fake,h,Web\n")
+    with pytest.raises(Exception, match="header"):
+        src.read_corpus(spark, str(tmp_path / "c")).collect()
+
+
 def test_missing_column_is_an_error(spark, tmp_path):
     (tmp_path / "c.csv").write_text("text,source\na,b\n")
     with pytest.raises(ValueError, match="Binary_label"):
@@ -74,7 +82,7 @@ def test_leakage_scan_findings(spark):
     df = spark.createDataFrame(rows, "id int, label string, model string, domain string, source string, free string")
     got = {r["column"]: r for r in audit.leakage_scan(df, ["id", "model", "domain", "source", "free"]).collect()}
     flags = lambda c: tuple(got[c][f] for f in ("is_constant", "near_unique", "perfect_predictor", "null_predictor"))
-    assert flags("id") == (0, 1, 0, 0)
+    assert flags("id") == (0, 1, 1, 0)  # the raw flag beside near_unique
     assert flags("model") == (0, 0, 1, 1)
     assert flags("domain") == (1, 0, 0, 0)
     assert flags("source") == (0, 0, 1, 0)

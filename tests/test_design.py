@@ -205,3 +205,41 @@ def test_stream_gives_the_same_sink_in_one_batch_or_several(spark, tmp_path, fil
     assert first[0] == sorted({(f"c{i % 3}", i % 12) for i in range(30) if i % 12 != 5})
     assert first[1] == [("c2", 5)]
     assert run() == first
+
+
+@pytest.mark.parametrize("order", [(10, 11, 1, 2), (1, 2, 10, 11)])
+def test_stream_loses_no_text_out_of_time_order(spark, tmp_path, order):
+    """Files whose times go back by more than any delay, one file a batch."""
+    source = str(tmp_path / "in")
+    for n, day in enumerate(order):
+        spark.range(5).coalesce(1).select(
+            F.lit(f"day{day}").alias("cell_id"), F.col("id").cast("int").alias("rep_index"), F.lit("m").alias("model"),
+            F.when(F.col("id") == 0, "short").otherwise(F.repeat(F.lit("word "), 30)).alias("text"),
+            F.timestamp_seconds(F.lit(1700000000 + day * 86400) + F.col("id")).alias("timestamp"),
+        ).write.mode("append").parquet(source)
+    texts = ingest.read_stream(spark, source, STREAM, files_per_batch=1)
+    ingest.stream_ingest(texts, str(tmp_path / "out"), 130, 270).awaitTermination()
+    assert ingest.read_sink(spark, str(tmp_path / "out"), "accepted").count() == 16
+    assert ingest.read_sink(spark, str(tmp_path / "out"), "failed").count() == 4
+
+
+def test_replay_keeps_rows_of_unknown_cells_and_compares_aspects(spark):
+    design = cfg.Design()
+    items = ds.item_index(spark.createDataFrame([(f"h{i}",) for i in range(7)], "item string"), "item")
+    planned = ds.instructions(ds.factorial_manifest(spark, design.axes, items, total=200), design)
+    rows = planned.withColumn("Category", F.col("item")).withColumn("gen_seed", F.lit(design.seed))
+    stray = F.col("ordinal") % 10 == 0
+    rows = rows.withColumn("cell_id", F.when(stray, "elsewhere").otherwise(F.col("cell_id")))
+    got = ds.replay_check(rows.drop("item"), items, design, spark).collect()
+    assert sum(r["n_rows"] for r in got) == 200
+    other = next(r for r in got if r["cell_id"] == "elsewhere")
+    assert (other["n_category_ok"], other["n_opener_ok"], other["n_aspects_ok"]) == (0, 0, 0)
+    assert all(r["n_aspects_ok"] == r["n_rows"] for r in got if r["cell_id"] != "elsewhere")
+
+
+def test_blank_category_counts_once_in_the_whole_pool(spark):
+    rows = [(1, "a text", "", "real", "en"), (2, "b text", "", "real", "en")]
+    corpus = spark.createDataFrame(rows, "id long, text string, Category string, Binary_label string, source string")
+    spec = cfg.ExampleSpec(real_source_by_sentiment={"positive": "en"}, fake_source="en")
+    pool = ds.example_pool(corpus, spec).where("length = 'short'").collect()
+    assert sorted(r["id"] for r in pool) in ([1], [2], [1, 2]) and {r["size"] for r in pool} == {len(pool)}

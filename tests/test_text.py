@@ -146,7 +146,9 @@ def test_word_ngrams(spark, n):
 
 
 def test_tokens(spark):
-    assert run(spark, TEXTS, tx.tokens)[6] == ["étage", "élevé", "1st", "floor", "ok", "no"]
+    assert run(spark, TEXTS, tx.tokens)[6] == ["etage", "eleve", "1st", "floor", "ok", "no"]
+    kept = run(spark, TEXTS, lambda c: tx.tokens(c, strip_accents=False))[6]
+    assert kept == ["étage", "élevé", "1st", "floor", "ok", "no"]
 
 
 def test_cell_matches(spark):
