@@ -16,17 +16,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tellmark.plans.queries import QUERIES
 from tellmark.session import local_session
 
-LEARNERS = {
-    "train_linear_svm", "train_rbf_svm", "train_boosted_trees", "calibrate_scores", "grid_search",
-    "final_report", "model_comparison", "tfidf_vectors",
-}
-
-
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
-    names = chosen.split(",") if chosen else [q for q in QUERIES if q not in LEARNERS]
+    names = chosen.split(",") if chosen else list(QUERIES)
     spark = local_session(cpus)
     spark.read.parquet(f"{folder}/documents.parquet").write.format("noop").mode("overwrite").save()
     seconds = {}
