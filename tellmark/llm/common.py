@@ -1,50 +1,22 @@
-"""Helpers shared by the operators of this package."""
+"""Helpers shared by the operators of this package. ``stored`` writes a result that several jobs read
+to the shared folder; ``scratch_path`` names a folder there."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tellmark.session import shared_dir
+from tellmark.session import scratch_path, settle as stored  # noqa: F401
 
 #: A side is broadcast only when its measured rows need at most this many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
-#: Characters of text that one round of vectorised work inside a task takes at most (whole
-#: texts; a longer one is a round of its own).
-SLICE_CHARS = 2_000_000
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared folder of the cluster, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session ended before the interpreter did
-            return
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a result that several jobs
-    read, and that a lost executor cannot take along."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: Bytes of text that one round of work inside a task takes at most (whole texts; a longer one is a
+#: round of its own).
+SLICE_BYTES = 2_000_000
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """True for the rows kept away from learning: crc32 of the id as text, modulo ``folds``."""
@@ -78,16 +50,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts that hold about ``limit`` characters each."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """A column of texts in consecutive runs of about ``limit`` bytes: bounds and values. Only one
+    run at a time exists as Python objects."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end
 
 
 def take_ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -111,7 +85,7 @@ class WordTable:
     word's part. At ``limit`` words the table starts anew, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

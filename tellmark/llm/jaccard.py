@@ -109,9 +109,9 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 1, rows: int =
     def run(batches):
         shingler = _shinglers.setdefault(words, Shingler(words))
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for a, b in slices(texts):
-                hashes, bounds = shingler(texts[a:b])
+            ids = batch.column(0).to_numpy()
+            for a, b, texts in slices(batch.column(1)):
+                hashes, bounds = shingler(texts)
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
                 first = bounds[some]
@@ -146,9 +146,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int, text: str, key: str) -
     def run(batches):
         shingler = _shinglers.setdefault(words, Shingler(words))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                hashes, bounds = shingler(texts[a:b])
+            for a, b, texts in slices(batch.column(0)):
+                hashes, bounds = shingler(texts)
                 some = np.flatnonzero(np.diff(bounds))
                 part = batch.slice(a, b - a).take(pa.array(some))
                 k1, k2 = _fingerprint(hashes, bounds[some])

@@ -55,8 +55,10 @@ def word_counts(rows: DataFrame, label: str, text: str) -> DataFrame:
 
         counts = Counter()
         for batch in batches:
-            for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.update((name, w) for w in _words(own or ""))
+            labels = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1)):
+                for name, own in zip(labels[a:b], texts):
+                    counts.update((name, w) for w in _words(own or ""))
         names, words = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -163,10 +165,9 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text", key: str =
         trees = shared.value
         table = _word_costs(trees) if trees else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b, texts in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *_classify(trees, table, texts[a:b])], schema=out
+                    [batch.column(0).slice(a, b - a), *_classify(trees, table, texts)], schema=out
                 )
 
     return source.mapInArrow(run, schema)
@@ -180,10 +181,10 @@ def attach(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "_lang
     def classify(texts):
         import pandas as pd
 
-        own, names, scores = [t if isinstance(t, str) else None for t in texts], [], []
+        names, scores = [], []
         table = _word_costs(shared.value)
-        for a, b in slices(own):
-            found = _classify(shared.value, table, own[a:b])
+        for _, _, own in slices(pa.array(texts, pa.string(), from_pandas=True)):
+            found = _classify(shared.value, table, own)
             names += found[0].to_pylist()
             scores += found[1].to_pylist()
         return pd.DataFrame({"l": pd.Series(names, dtype=object), "s": pd.Series(scores, dtype=float)})

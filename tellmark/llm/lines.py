@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, stored, unboxed
+from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, slices, stored, unboxed
 
 RARE_DOCS = 16
 BLOCK_WORDS = 5
@@ -108,16 +108,17 @@ def sequences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     def run(batches):
         for batch in batches:
-            found = []
-            for doc, t, content in zip(*[c.to_pylist() for c in batch.columns]):
-                own = content.split("\n")
-                hashes = [line_hash(line) for line in own]
-                if any(hashes):
-                    whole = xxhash.xxh3_128_intdigest(np.array(hashes, np.int64).tobytes())
-                    k1, k2 = (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
-                    found.append((doc, t, k1, k2, hashes, [len(line.split()) for line in own]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), out)], schema=out)
+            for a, b, texts in slices(batch.column(2)):
+                found = []
+                for doc, t, content in zip(*[batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1)], texts):
+                    own = content.split("\n")
+                    hashes = [line_hash(line) for line in own]
+                    if any(hashes):
+                        whole = xxhash.xxh3_128_intdigest(np.array(hashes, np.int64).tobytes())
+                        k1, k2 = (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+                        found.append((doc, t, k1, k2, hashes, [len(line.split()) for line in own]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), out)], schema=out)
 
     return rows.mapInArrow(run, schema)
 
@@ -143,7 +144,8 @@ def _deleted(pairs: DataFrame, classes: DataFrame, block_words: int) -> DataFram
     def run(batches):
         for batch in batches:
             found = []
-            for rep, own, words, others in zip(*[c.to_pylist() for c in batch.columns]):
+            for k in range(batch.num_rows):
+                rep, own, words, others = (c[k].as_py() for c in batch.columns)
                 places = common_lines(own, others, words, block_words)
                 if places:
                     found.append((rep, places))
@@ -200,8 +202,12 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     def run(batches):
         for batch in batches:
-            kept = [_kept(*x) for x in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)])]
-            cells = [[n for _, n, _ in kept], [g for _, _, g in kept], [sha256((t or "").encode()).hexdigest() for t, _, _ in kept]]
+            cells = [[], [], []]
+            for a, b, texts in slices(batch.column(1)):
+                for x in zip(texts, *[batch.column(i).slice(a, b - a).to_pylist() for i in (2, 3)]):
+                    kept, n, gone = _kept(*x)
+                    for cell, value in zip(cells, (n, gone, sha256((kept or "").encode()).hexdigest())):
+                        cell.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t.type) for c, t in zip(cells, list(out)[1:])]], schema=out)
 
     return rows.mapInArrow(run, schema)

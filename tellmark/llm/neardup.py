@@ -71,7 +71,8 @@ def _tiles(classes: DataFrame, threshold: float, block_rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for same, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            for k in range(batch.num_rows):
+                same, *row = (c[k].as_py() for c in batch.columns)
                 a = tiles.Block(*row[:5], unit=True)
                 yield _linked(a, a if same else tiles.Block(*row[5:], unit=True), threshold, out)
 

@@ -55,7 +55,8 @@ def search(rows: DataFrame, queries: Column, k: int, vector: str = "embedding",
     def run(batches):
         best: dict[int, list] = defaultdict(list)
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            for k_row in range(batch.num_rows):
+                row = [c[k_row].as_py() for c in batch.columns]
                 _tile(tiles.Block(*row[:5]), tiles.Block(*row[5:]), k, best)
         found = [(q, -v, s) for q, heap in best.items() for s, v in heap]
         columns = zip(*found) if found else [[]] * 3

@@ -169,9 +169,8 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         tokens = _tokens[digest]
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, bounds = tokens.encode(texts[a:b])
+            for a, b, texts in slices(batch.column(1)):
+                ids, bounds = tokens.encode(texts)
                 raw, bounds = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
                 row, piece, start, length, crc = [], [], [], [], []
                 for i in range(b - a):

@@ -237,9 +237,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
     def run(batches):
         model = _model(digest, content)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, bounds = model.encode(texts[a:b])
+            for a, b, texts in slices(batch.column(1)):
+                ids, bounds = model.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.cast(out.field(1).type)], schema=out)
 
@@ -257,9 +256,8 @@ def digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "do
     def run(batches):
         model = _model(digest, content)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, bounds = model.encode(texts[a:b])
+            for a, b, texts in slices(batch.column(1)):
+                ids, bounds = model.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),

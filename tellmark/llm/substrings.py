@@ -28,9 +28,9 @@ from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, slices
 
 WINDOW = 20
 #: Windows that one bucket holds on average.
-BUCKET_WINDOWS = 1 << 20
+BUCKET_WINDOWS = 1 << 19
 #: Bytes of text that are hashed and packed together.
-ROUND_BYTES = 8_000_000
+ROUND_BYTES = 4_000_000
 #: Odd multipliers of the two polynomials and of the final mixing (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -129,11 +129,9 @@ def _requests(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches):
         rolling = _rolling.setdefault(window, Rolling(window))
         for batch in batches:
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            batch = batch.take(pa.array(order))
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for a, b in slices(texts, ROUND_BYTES):
-                own = [t.split() if t else [] for t in texts[a:b]]
+            keys = batch.column(0).to_numpy()
+            for a, b, texts in slices(batch.column(1), ROUND_BYTES):
+                own = [t.split() if t else [] for t in texts]
                 n = np.fromiter(map(len, own), np.int64, b - a)
                 windows = np.maximum(n - window + 1, 0)
                 doc = np.repeat(np.arange(b - a), windows)
@@ -237,13 +235,15 @@ def digests(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str
     def run(batches):
         for batch in batches:
             n_words, n_removed, digest = [], [], []
-            for t, begins, ends in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
-                words = t.split() if t else []
-                n_words.append(len(words))
-                for a, b in zip(reversed(begins or ()), reversed(ends or ())):
-                    del words[a:b]
-                n_removed.append(n_words[-1] - len(words))
-                digest.append(sha256(b" ".join(words)).hexdigest())
+            for a, b, texts in slices(batch.column(1)):
+                own = [batch.column(i).slice(a, b - a).to_pylist() for i in (2, 3)]
+                for t, begins, ends in zip(texts, *own):
+                    words = t.split() if t else []
+                    n_words.append(len(words))
+                    for x, y in zip(reversed(begins or ()), reversed(ends or ())):
+                        del words[x:y]
+                    n_removed.append(n_words[-1] - len(words))
+                    digest.append(sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())],
                 schema=out,

@@ -119,7 +119,7 @@ def _term_counts(rows: DataFrame, text: str, wanted: frozenset | None = None, wi
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in itertools.chain.from_iterable(texts for _, _, texts in slices(batch.column(0))):
                 terms = _terms(t)
                 if without.isdisjoint(terms):
                     counts.update(terms if wanted is None else wanted.intersection(terms))
@@ -261,9 +261,8 @@ def features(docs: DataFrame, grammar: Grammar, text: str = "text", key: str = "
         grammar = shared.value
         table = _symbols(grammar)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                x = grammar.features(texts[a:b], table)
+            for a, b, texts in slices(batch.column(1)):
+                x = grammar.features(texts, table)
                 lists = pa.array(list(x), out.field(1).type)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], schema=out)
 
@@ -283,9 +282,8 @@ def score(docs: DataFrame, grammar: Grammar | None, text: str = "text", key: str
         grammar = shared.value
         table = _symbols(grammar)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = grammar.score(grammar.features(texts[a:b], table))
+            for a, b, texts in slices(batch.column(1)):
+                found = grammar.score(grammar.features(texts, table))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], schema=out)
 
     return source.mapInArrow(run, schema)
