@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tellmark.llm import jaccard, langid, lines, neardup, neighbours, packing, pieces, substrings, toxicity, warc
 from tellmark.llm.common import held_out, join_checked
+from tellmark.llm.oracle import STATEMENTS as SQL  # noqa: F401
 
 QUERIES = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
