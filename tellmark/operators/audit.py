@@ -28,9 +28,9 @@ def require_clean(df: DataFrame, text: str = "text", label: str = "label") -> Da
         F.countDistinct(label).alias("classes"),
     ).first()
     if found["missing"]:
-        raise ValueError("Missing text or labels detected.")
+        raise ValueError("some rows have no text or no label")
     if found["classes"] != 2:
-        raise ValueError("Expected exactly two classes.")
+        raise ValueError(f"the label has {found['classes']} values, not 2")
     return df
 
 

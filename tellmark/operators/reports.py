@@ -147,7 +147,7 @@ def opener_bootstrap(
     )
     n = own["n"]
     if n > openers.count():
-        raise ValueError("Cannot take a larger sample than population without replacement.")
+        raise ValueError(f"a sample of {n} needs a reference of at least as many texts")
     drawn = (
         fan_out(openers, "_key").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_h", hash_number(key_hash(seed, F.col("draw"), F.col("_key")), 15))
@@ -218,8 +218,9 @@ def impure_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("stray", tx.stray_characters(F.col(text))).where(F.col("stray") != "")
 
 
-def hygiene_report(gen: DataFrame) -> DataFrame:
-    """One row: leaks, disclosures, exact duplicates, categories used and their spread."""
+def hygiene_report(gen: DataFrame, human: DataFrame) -> DataFrame:
+    """One row: leaks, disclosures, exact duplicates, categories used out of all categories of
+    the human corpus, and their spread."""
     digest = F.md5("text")
     text = gen.agg(
         count_if(tx.preamble_leak(F.col("text"))).alias("preamble_leaks"),
@@ -231,7 +232,8 @@ def hygiene_report(gen: DataFrame) -> DataFrame:
             F.count("Category").alias("categories"), F.min("n").alias("min_n"), F.max("n").alias("max_n")
         )
     ).scalar()
-    return text.withColumn("_s", spread).select("*", "_s.*").drop("_s")
+    known = human.agg(F.countDistinct("Category")).scalar()
+    return text.withColumn("_s", spread).select("*", "_s.*", known.alias("known_categories")).drop("_s")
 
 
 def copy_report(copies: DataFrame, warn_above: int = 5) -> DataFrame:

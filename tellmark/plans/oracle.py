@@ -7,11 +7,14 @@ grouping where the Spark side avoids them.
 from __future__ import annotations
 
 from tellmark import config as cfg
-from tellmark.functions.text import TOKEN, portable
+from tellmark.functions.text import portable
 
 WS = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 
 
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -27,7 +30,7 @@ def words(x: str) -> str:
 def decorated(text: str, number: str) -> str:
     return f"""CASE ({number}) % 8
         WHEN 1 THEN '<think>plan' || chr(10) || 'notes</think>' || chr(10) || {text}
-        WHEN 2 THEN 'Sure, here''s a review: ' || {text}
+        WHEN 2 THEN 'Sure, here are my words: ' || {text}
         WHEN 3 THEN 'Review:' || repeat(chr(10), 4) || '"' || {text} || '"'
         WHEN 4 THEN 'Certainly! - here is the text:' || chr(10) || ' ''' || {text} || '''  '
         WHEN 5 THEN '“' || {text} || ';' || repeat(chr(10), 4) || '–”'
@@ -470,11 +473,12 @@ def statements() -> dict[str, str]:
         "perfect_separators": with_(CORPUS, CLASSES, CHARS) + """SELECT ch, upper(printf('%X', unicode(ch))) AS code_point, n_texts,
             round(100 * n_texts / (SELECT count(*) FROM classes WHERE class = 'generated')::DOUBLE, 6) AS pct FROM separators""",
         "language_purity": with_(GEN) + f"SELECT count(*) AS n_rows, count(*) FILTER ({stray('text')} <> '') AS n_impure FROM gen",
-        "hygiene_report": with_(GEN) + f"""SELECT count(*) FILTER ({matches('text', cfg.PREAMBLE_LEAK_PATTERN)}) AS preamble_leaks,
+        "hygiene_report": with_(CORPUS, GEN) + f"""SELECT count(*) FILTER ({matches('text', cfg.PREAMBLE_LEAK_PATTERN)}) AS preamble_leaks,
             count(*) FILTER ({matches('text', cfg.DISCLOSURE_PATTERN)}) AS disclosures,
             count(*) - count(DISTINCT text) AS duplicates, count(DISTINCT "Category") AS categories,
             (SELECT min(n) FROM (SELECT count(*) AS n FROM gen GROUP BY "Category")) AS min_n,
-            (SELECT max(n) FROM (SELECT count(*) AS n FROM gen GROUP BY "Category")) AS max_n FROM gen""",
+            (SELECT max(n) FROM (SELECT count(*) AS n FROM gen GROUP BY "Category")) AS max_n,
+            (SELECT count(DISTINCT "Category") FROM corpus) AS known_categories FROM gen""",
         "copy_report": with_(CORPUS, GEN, MANIFEST, ASPECTS, POOL, PICKS, PROMPTS) + f""",
             pairs AS (SELECT {words('lower(g.text)')} AS w, {words('lower(p.user)')} AS u
                 FROM gen g JOIN prompts p ON p.cell_id = g.cell_id AND p.rep_index = g.rep_index WHERE p.example_mode = 'few_shot'),
@@ -586,7 +590,10 @@ def _grid_rows() -> str:
         ("n_estimators", ["200", "400", "800"]), ("max_depth", ["3", "5", "7"]), ("learning_rate", ["0.03", "0.1"]),
         ("subsample", ["0.8", "1.0"]), ("colsample_bytree", ["0.8", "1.0"]), ("min_child_weight", ["1", "3"]), ("reg_lambda", ["1", "5"]),
     ]
-    return f"VALUES {rows('svm', svm)}, {rows('boosted_trees', trees)}"
+    transformer = [
+        ("learning_rate", ["2e-05", "3e-05", "5e-05"]), ("batch_size", ["8", "16"]), ("num_train_epochs", ["3", "4"]), ("weight_decay", ["0.0", "0.01"]),
+    ]
+    return f"VALUES {rows('svm', svm)}, {rows('boosted_trees', trees)}, {rows('transformer', transformer)}"
 
 
 def _nest_replace(x: str, mapping: dict[str, str]) -> str:

@@ -335,7 +335,7 @@ def language_purity(spark, d):
 
 @query
 def hygiene_report(spark, d):
-    return reports.hygiene_report(v.generated_rows(spark, d))
+    return reports.hygiene_report(v.generated_rows(spark, d), v.corpus(spark, d))
 
 
 @query
@@ -477,16 +477,16 @@ def scored(spark, d):
 
 @query
 def param_grid(spark, d):
-    """Every declared point of both grids beside the rows that a fit of it learns from."""
+    """Every declared point of the three grids beside the rows that a fit of it learns from."""
     learned = sp.stratified_split(v.corpus(spark, d)).where(F.col("split") == "train").agg(*totals())
     named = F.transform(
         F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))
     )
     points = [
         mx.param_grid(spark, grid).select(F.lit(family).alias("family"), "run", F.array_join(named, ";").alias("params"))
-        for family, grid in (("svm", cfg.SVM_GRID), ("boosted_trees", cfg.TREES_GRID))
+        for family, grid in (("svm", cfg.SVM_GRID), ("boosted_trees", cfg.TREES_GRID), ("transformer", cfg.TRANSFORMER_GRID))
     ]
-    return points[0].unionByName(points[1]).crossJoin(learned)  # one row of totals
+    return reduce(DataFrame.unionByName, points).crossJoin(learned)  # one row of totals
 
 
 @query

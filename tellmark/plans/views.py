@@ -47,7 +47,7 @@ def decorated(text: Column, number: Column) -> Column:
     kind = F.pmod(number, F.lit(8))
     return (
         F.when(kind == 1, F.concat(F.lit("<think>plan\nnotes</think>\n"), text))
-        .when(kind == 2, F.concat(F.lit("Sure, here's a review: "), text))
+        .when(kind == 2, F.concat(F.lit("Sure, here are my words: "), text))
         .when(kind == 3, F.concat(F.lit('Review:\n\n\n\n"'), text, F.lit('"')))
         .when(kind == 4, F.concat(F.lit("Certainly! - here is the text:\n '"), text, F.lit("'  ")))
         .when(kind == 5, F.concat(F.lit("“"), text, F.lit(";\n\n\n\n–”")))
