@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tellmark import config as cfg
-from tellmark.config import AttemptSpec, SplitSpec, VectorSpec
+from tellmark.config import AttemptSpec, VectorSpec
 from tellmark.functions import text as tx
 from tellmark.functions.udfs import apply_scorer
 from tellmark.operators import (
@@ -363,14 +363,9 @@ def failure_breakdown(spark, d):
 
 @query
 def seed_summary(spark, d):
-    texts = v.corpus(spark, d).select("id", "y", "toxic")
-    runs = [
-        mx.binary_metrics(
-            sp.stratified_split(texts, spec=SplitSpec(seed=seed)).where(F.col("split") == "test"), pred="toxic"
-        ).withColumn("model", F.lit("toxic_flag"))
-        for seed in (42, 43, 44, 45, 46)
-    ]
-    return rounded(mx.seed_summary(reduce(DataFrame.unionByName, runs)))
+    texts = sp.stratified_splits(v.corpus(spark, d).select("id", "y", "toxic"), (42, 43, 44, 45, 46))
+    runs = mx.binary_metrics(texts.where(F.col("split") == "test"), pred="toxic", by=("seed",))
+    return rounded(mx.seed_summary(runs.withColumn("model", F.lit("toxic_flag"))))
 
 
 # ---- design ---------------------------------------------------------------

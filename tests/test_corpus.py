@@ -178,3 +178,10 @@ def test_gate_raises(spark):
     assert gate.first().asDict() == {"n_separators": 1, "n_impure": 0, "passed": 0}
     with pytest.raises(ValueError, match="1 separators"):
         reports.require_gate(gate)
+
+
+def test_splits_of_several_seeds_equal_single_ones(balanced):
+    many = sp.stratified_splits(balanced.select("id", "y"), (42, 7))
+    for seed in (42, 7):
+        one = sp.stratified_split(balanced, spec=SplitSpec(seed=seed)).select("id", "split")
+        assert sorted(map(tuple, many.where(F.col("seed") == seed).select("id", "split").collect())) == sorted(map(tuple, one.collect()))
