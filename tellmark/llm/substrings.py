@@ -1,8 +1,9 @@
 """Removal of repeated word windows.
 
 Every window of ``WINDOW`` consecutive words of a document gets two rolling (Rabin-Karp) hashes: a
-polynomial over word hashes, read off prefix sums. The second picks a bucket, the first travels
-there with document and start, packed for a round of texts at a time. Windows of a bucket that
+polynomial over word hashes, read off prefix sums. Equal windows of a round of texts are counted
+there; the earliest of each kind goes on. Its second hash picks a bucket, the first travels there
+with document and start, packed. Windows of a bucket that
 agree in the first hash are the same words (64 bits inside one of as many buckets as a million
 windows each make: more data, more buckets, and no more chance of a false match per window). All
 but the earliest by (document, start) are repeats. They return to their documents, where
@@ -30,7 +31,7 @@ WINDOW = 20
 #: Windows that one bucket holds on average.
 BUCKET_WINDOWS = 1 << 19
 #: Bytes of text that are hashed and packed together.
-ROUND_BYTES = 4_000_000
+ROUND_BYTES = 2_000_000
 #: Odd multipliers of the two polynomials and of the final mixing (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -121,8 +122,38 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("_key"), F.col(text).cast("binary").alias("_text"))
 
 
-def _requests(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Packed windows by bucket."""
+def _repeated(keys: np.ndarray, starts: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with these hashes: places of the earliest of each kind, and of all that start
+    later than it. A second row of the same document and start is neither."""
+    order = np.argsort(hashes[0])
+    same = np.logical_and.reduce([h[order[1:]] == h[order[:-1]] for h in hashes])
+    group = np.cumsum(np.r_[True, ~same])
+    several = np.r_[same, False] | np.r_[False, same] if len(order) else np.zeros(0, bool)
+    at, alone, group = order[several], order[~several], group[: len(order)][several]
+    at = at[np.lexsort((starts[at], keys[at], group))]
+    first = np.flatnonzero(np.r_[True, np.diff(group) != 0])[: len(group)]
+    least = np.repeat(at[first], np.diff(np.r_[first, len(at)]))
+    later = at[(keys[at] != keys[least]) | (starts[at] != starts[least])]
+    return np.r_[alone, at[first]], later
+
+
+def _replies(keys: np.ndarray, starts: np.ndarray, groups: int) -> list[tuple]:
+    """Packed windows by the group of their document."""
+    part = (keys.astype(np.uint64) * MIX >> np.uint64(33)).astype(np.int64) % groups
+    order = np.lexsort((starts, keys, part))
+    keys, starts, part = keys[order], starts[order], part[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    return [(int(part[x]), *_pack(keys[x:y], starts[x:y])) for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
+def _columns(rows: list[tuple], out: pa.Schema) -> list[pa.Array]:
+    return [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(out), out)]
+
+
+def _requests(rows: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
+    """Packed windows by bucket. Of equal windows of a round only the earliest goes to its bucket, so
+    a window that a third of all documents hold is there once a round; the others are known to be
+    repeats and are packed by document group, as buckets below 0."""
     schema = f"bucket int, hashes binary, {_PACKED}"
     out = arrow(schema)
 
@@ -134,20 +165,21 @@ def _requests(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 own = [t.split() if t else [] for t in texts]
                 n = np.fromiter(map(len, own), np.int64, b - a)
                 windows = np.maximum(n - window + 1, 0)
-                doc = np.repeat(np.arange(b - a), windows)
+                doc = np.repeat(np.arange(a, b), windows)
                 start = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
                 place = start + np.repeat(np.cumsum(n) - n, windows)
                 h, spread = rolling([w for words in own for w in words], place)
-                bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                key = keys[doc]
+                kept, later = _repeated(key, start, h, spread)
+                found = [(-1 - part, None, *packed) for part, *packed in _replies(key[later], start[later], groups)]
+                kept = np.sort(kept)
+                bucket = ((spread[kept] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-                rows = []
                 for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
-                    at = order[x:y]
-                    rows.append((int(bucket[at[0]]), h[at].tobytes(), *_pack(keys[a + doc[at]], start[at])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out
-                )
+                    at = kept[order[x:y]]
+                    found.append((int(bucket[order[x]]), h[at].tobytes(), *_pack(key[at], start[at])))
+                yield pa.RecordBatch.from_arrays(_columns(found, out), schema=out)
 
     return rows.mapInArrow(run, schema)
 
@@ -158,31 +190,15 @@ def _repeats(requests: DataFrame, groups: int) -> DataFrame:
     out = arrow(schema)
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            part = pa.array(np.full(table.num_rows, -1 - bucket, np.int32))
+            return pa.Table.from_arrays([part, *[table.column(c) for c in ("docs", "counts", "starts")]], schema=out)
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
         packed = [table.column(c).to_pylist() for c in ("docs", "counts", "starts")]
         keys, starts = map(np.concatenate, zip(*[_unpack(*x) for x in zip(*packed)]))
-        order = np.argsort(h)
-        sorted_h = h[order]
-        same = sorted_h[1:] == sorted_h[:-1]
-        several = np.r_[same, False] | np.r_[False, same]
-        at = order[several]
-        group = np.cumsum(np.r_[True, ~same])[several]
-        at = at[np.lexsort((starts[at], keys[at], group))]
-        first = np.flatnonzero(np.r_[True, np.diff(group) != 0])[: len(group)]
-        size = np.diff(np.r_[first, len(at)])
-        least = np.repeat(at[first], size) if len(at) else at
-        at = at[(keys[at] != keys[least]) | (starts[at] != starts[least])]
-        part = (keys[at].astype(np.uint64) * MIX >> np.uint64(33)).astype(np.int64) % groups
-        order = np.lexsort((starts[at], keys[at], part))
-        at, part = at[order], part[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(at) else np.zeros(1, np.int64)
-        rows = [
-            (int(part[x]), *_pack(keys[at[x:y]], starts[at[x:y]]))
-            for x, y in zip(cuts.tolist(), cuts[1:].tolist())
-        ]
-        return pa.Table.from_arrays(
-            [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out
-        )
+        _, later = _repeated(keys, starts, h)
+        return pa.Table.from_arrays(_columns(_replies(keys[later], starts[later], groups), out), schema=out)
 
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
@@ -213,7 +229,8 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, text: str = "text",
     rows = _keyed(docs, text, key)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(16, size // 6 // BUCKET_WINDOWS)
-    return stored(_intervals(_repeats(_requests(rows, window, buckets), buckets), window), "intervals")
+    groups = max(16, buckets // 4)
+    return stored(_intervals(_repeats(_requests(rows, window, buckets, groups), groups), window), "intervals")
 
 
 def _with_intervals(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
