@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tellmark.session import scratch_path, settle as stored  # noqa: F401
 
@@ -37,9 +38,35 @@ def boxed(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("_row"))
 
 
-def unboxed(df: DataFrame, columns: list[str], text: str, new_text: Column, *more: Column) -> DataFrame:
-    """The columns of before, in their order, with a new text, and more."""
-    return df.select(*[new_text.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns], *more)
+def unboxed(df: DataFrame, columns: list[str], text: str, new_text: Column) -> DataFrame:
+    """The columns of before, in their order, with a text."""
+    return df.select(*[new_text.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def rewritten(rows: DataFrame, before: T.StructType, text: str, inputs: list[str], more: list[T.StructField], rewrite: Callable) -> DataFrame:
+    """The columns of ``before`` from boxed ``rows``, with texts and further columns that ``rewrite``
+    makes. It gets a round of texts and of each input, and returns the texts and a list for each
+    further column; all other columns pass through as Arrow data."""
+    names = [f.name for f in before.fields if f.name != text]
+    source = rows.select(*[F.col("_row").getField(n).alias(f"_{i}") for i, n in enumerate(names)], "_text", *inputs)
+    schema = T.StructType([*before.fields, *more])
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            made: list[list[pa.Array]] = [[] for _ in range(1 + len(more))]
+            kinds = [pa.string(), *[out.field(len(before.fields) + i).type for i in range(len(more))]]
+            for a, b, texts in slices(batch.column("_text")):
+                found = rewrite(texts, *[batch.column(c).slice(a, b - a).to_pylist() for c in inputs])
+                for parts, values, kind in zip(made, found, kinds):
+                    parts.append(pa.array(values, kind))
+            if batch.num_rows:
+                new, *further = [pa.concat_arrays(parts) for parts in made]
+                old = iter(range(len(names)))
+                kept = [new if f.name == text else batch.column(next(old)) for f in before.fields]
+                yield pa.RecordBatch.from_arrays([*kept, *further], schema=out)
+
+    return source.mapInArrow(run, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -140,7 +167,4 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 def arrow(schema: str) -> pa.Schema:
     """The Arrow schema of a Spark schema string, for the batches a task returns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(T.StructType.fromDDL(schema))

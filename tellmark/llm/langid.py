@@ -8,7 +8,7 @@ eight bits for any byte. Statistics stay frozen while scoring, so a code length
 bytes, and a word, which begins behind a space and ends with one, costs the same wherever it
 stands. The language with the shortest code wins; ``score`` is its posterior under equal priors.
 
-The trees are learned from whole texts of at most ``SAMPLE_DOCS`` documents of each language,
+The trees are learned from whole texts of about ``SAMPLE_DOCS`` documents of each language,
 those with the smallest hashes: a bound on the model, not on what is scored. Texts are lower-cased.
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the language that sorts
 first. Without anything to learn from, every text is ``und``. Rows that repeat are scored each.
@@ -21,24 +21,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import WordTable, arrow, boxed, slices, sums_between, unboxed
+from tellmark.llm.common import WordTable, arrow, boxed, rewritten, slices, sums_between
 
 DEPTH = 4
-SAMPLE_DOCS = 800
+SAMPLE_DOCS = 400
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample_per_class(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
-    """Rows of about ``most`` smallest hashes of each class. Counts set a hash threshold per
-    class, so no class is ranked or gathered."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.pmod(F.xxhash64(*order), F.lit(1 << 20)) / float(1 << 20)
-    return rows.withColumn("_share", share).join(counts, label).where(
-        F.col("_share") < F.lit(float(most)) / F.col("_n")
-    ).drop("_share", "_n")
+    """Rows of about ``most`` smallest hashes of each class. One count per class sets its hash
+    threshold, a literal, so rows stop at the scan and no class is ranked, moved or gathered."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    if not counts:
+        return rows.limit(0)
+    size = F.create_map(*[F.lit(x) for r in counts for x in (r[label], r["n"])])[F.col(label)]
+    share = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(share * size < float(most))
 
 
 def _words(text: str) -> list[str]:
@@ -177,20 +178,12 @@ def attach(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "_lang
     """All columns of ``docs`` with the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("struct<l string, s double>")
     def classify(texts):
-        import pandas as pd
-
-        names, scores = [], []
-        table = _word_costs(shared.value)
-        for _, _, own in slices(pa.array(texts, pa.string(), from_pandas=True)):
-            found = _classify(shared.value, table, own)
-            names += found[0].to_pylist()
-            scores += found[1].to_pylist()
-        return pd.DataFrame({"l": pd.Series(names, dtype=object), "s": pd.Series(scores, dtype=float)})
-
-    found = boxed(docs, text).withColumn("_found", classify("_text"))
-    return unboxed(found, docs.columns, text, F.col("_text"), F.col("_found.l").alias(lang), F.col("_found.s").alias(score))
+        names, scores, _ = _classify(shared.value, _word_costs(shared.value), texts)
+        return texts, names, scores
+
+    more = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
+    return rewritten(boxed(docs, text), docs.schema, text, [], more, classify)
 
 
 #: Word costs of the trees that this worker used last.

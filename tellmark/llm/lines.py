@@ -29,9 +29,9 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, slices, stored, unboxed
+from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, rewritten, slices, stored
 
 RARE_DOCS = 16
 BLOCK_WORDS = 5
@@ -217,12 +217,8 @@ def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", left: str =
     """``docs`` without the deleted lines; ``left`` counts the lines with content that stay."""
     rows = _with_deletions(docs, deletions(docs, text, key), text, key)
 
-    @F.pandas_udf("struct<t string, n int>")
     def cut(texts, loses, places):
-        import pandas as pd
+        kept = [_kept(*x)[0] for x in zip(texts, loses, places)]
+        return kept, [sum(1 for x in (t or "").split("\n") if x.strip()) for t in kept]
 
-        kept = [_kept(t, x, p)[0] for t, x, p in zip(texts, loses.eq(True), places)]
-        return pd.DataFrame({"t": kept, "n": [sum(1 for x in (t or "").split("\n") if x.strip()) for t in kept]})
-
-    rows = rows.withColumn("_cut", cut("_text", "_loses", "_places"))
-    return unboxed(rows, docs.columns, text, F.col("_cut.t"), F.col("_cut.n").alias(left))
+    return rewritten(rows, docs.schema, text, ["_loses", "_places"], [T.StructField(left, T.LongType())], cut)

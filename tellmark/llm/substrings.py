@@ -23,9 +23,9 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, slices, stored, unboxed
+from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, rewritten, slices, stored
 
 WINDOW = 20
 #: Windows that one bucket holds on average.
@@ -274,22 +274,18 @@ def clean(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str =
     counts the words that stay. Texts that lose nothing are unchanged."""
     rows = _with_intervals(docs, removal_intervals(docs, window, text, key), text, key)
 
-    @F.pandas_udf("struct<t string, n long>")
     def cut(texts, begins, ends):
-        import pandas as pd
-
         kept, n = [], []
         for t, a, b in zip(texts, begins, ends):
+            raw = (t or "").encode()
             if a is None:
                 kept.append(t)
-                n.append(len((t or "").encode().split()))
+                n.append(len(raw.split()))
                 continue
-            raw = t.encode()
             at = [m.start() for m in WORD.finditer(raw)] + [len(raw)]
             edges = [0, *[at[x] for pair in zip(a, b) for x in pair], len(raw)]
             kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])).decode())
-            n.append(len(at) - 1 - int(sum(b) - sum(a)))
-        return pd.DataFrame({"t": kept, "n": n})
+            n.append(len(at) - 1 - sum(b) + sum(a))
+        return kept, n
 
-    rows = rows.withColumn("_cut", cut("_text", "begins", "ends"))
-    return unboxed(rows, docs.columns, text, F.col("_cut.t"), F.col("_cut.n").alias(left))
+    return rewritten(rows, docs.schema, text, ["begins", "ends"], [T.StructField(left, T.LongType())], cut)

@@ -8,7 +8,7 @@ matched clause yields its weight under the kinds plain, targeted, negated and re
 is scored by a logistic model over what its matched clauses yield, so an isolated word counts by
 the clause that it stands in.
 
-Learned from labelled rows, at most ``SAMPLE_DOCS`` whole texts of each label (those with the
+Learned from labelled rows, about ``SAMPLE_DOCS`` whole texts of each label (those with the
 smallest hashes): the insult lexicon, whole words and word beginnings with the logarithm of how
 much likelier toxic texts hold them, and the weights of the kinds. The short word lists below are
 the start of the lexicon and the other symbols.
