@@ -145,6 +145,18 @@ class WordTable:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What tasks of one kind keep in a worker, such as the words met so far. Only the kind used last
+    is kept, so the operators of several stages do not add up in a worker that Spark reuses."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The groups of a partition sorted by ``key``, each as one table, across batch borders."""
     held: list[pa.RecordBatch] = []

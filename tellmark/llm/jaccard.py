@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import arrow, join_checked, slices, stored
+from tellmark.llm.common import arrow, join_checked, slices, stored, worker_state
 from tellmark.llm.components import components, merge_labels
 from tellmark.llm.substrings import Rolling
 
@@ -94,9 +94,6 @@ def _fingerprint(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return np.add.reduceat(hashes, first).view(np.int64), np.add.reduceat(other * other, first).view(np.int64)
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = 1, rows: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, fingerprint ``k1``, ``k2``, number of runs ``n`` and band hashes (none without
     runs) of every text."""
@@ -107,7 +104,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 1, rows: int =
     mixers = np.random.default_rng(SEED + 1).integers(0, 2**63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
-        shingler = _shinglers.setdefault(words, Shingler(words))
+        shingler = worker_state(("runs", words), lambda: Shingler(words))
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, texts in slices(batch.column(1)):
@@ -144,7 +141,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int, text: str, key: str) -
     source = join_checked(source, chosen, "rep", "inner", 64).select("_text", "blk", "rep", "m", "k1", "k2")
 
     def run(batches):
-        shingler = _shinglers.setdefault(words, Shingler(words))
+        shingler = worker_state(("runs", words), lambda: Shingler(words))
         for batch in batches:
             for a, b, texts in slices(batch.column(0)):
                 hashes, bounds = shingler(texts)

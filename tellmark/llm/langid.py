@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import WordTable, arrow, boxed, rewritten, slices, sums_between
+from tellmark.llm.common import WordTable, arrow, boxed, rewritten, slices, sums_between, worker_state
 
 DEPTH = 4
 SAMPLE_DOCS = 400
@@ -186,15 +186,8 @@ def attach(docs: DataFrame, trees: Trees, text: str = "text", lang: str = "_lang
     return rewritten(boxed(docs, text), docs.schema, text, [], more, classify)
 
 
-#: Word costs of the trees that this worker used last.
-_tables: dict[str, WordTable] = {}
-
-
 def _word_costs(trees: Trees) -> WordTable:
-    if trees.token not in _tables:
-        _tables.clear()
-        _tables[trees.token] = WordTable(trees.costs)
-    return _tables[trees.token]
+    return worker_state(("trees", trees.token), lambda: WordTable(trees.costs))
 
 
 def _classify(trees: Trees | None, table: WordTable | None, texts: list) -> list[pa.Array]:

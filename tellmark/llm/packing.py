@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tellmark.llm.common import WordTable, arrow, slices, stored, take_ragged
+from tellmark.llm.common import WordTable, arrow, slices, stored, take_ragged, worker_state
 
 CAPACITY = 2048
 END_ID = 0
@@ -151,9 +151,6 @@ class Tokens:
         return ids, ends[np.r_[0, np.cumsum(counts)].astype(np.int64)]
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
     with open(tokenizer, "rb") as f:
@@ -164,9 +161,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     out = arrow(schema)
 
     def run(batches):
-        if digest not in _tokens:
-            _tokens[digest] = Tokens(content.value)
-        tokens = _tokens[digest]
+        tokens = worker_state(("tokens", digest), lambda: Tokens(content.value))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a, b, texts in slices(batch.column(1)):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tellmark.llm.common import WordTable, arrow, slices, sums_between, take_ragged
+from tellmark.llm.common import WordTable, arrow, slices, sums_between, take_ragged, worker_state
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -212,13 +212,8 @@ class PieceModel:
         return [out[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def _model(key: str, serialized) -> PieceModel:
-    if key not in _models:
-        _models[key] = PieceModel(serialized.value)
-    return _models[key]
+    return worker_state(("pieces", key), lambda: PieceModel(serialized.value))
 
 
 def _shared(df: DataFrame, model_path: str):

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, rewritten, slices, stored
+from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, rewritten, slices, stored, worker_state
 
 WINDOW = 20
 #: Windows that one bucket holds on average.
@@ -112,8 +112,6 @@ def _unpack(docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.n
     return np.repeat(keys, n), run - np.repeat(before, n)
 
 
-_rolling: dict[int, Rolling] = {}
-
 _PACKED = "docs binary, counts binary, starts binary"
 
 
@@ -158,7 +156,7 @@ def _requests(rows: DataFrame, window: int, buckets: int, groups: int) -> DataFr
     out = arrow(schema)
 
     def run(batches):
-        rolling = _rolling.setdefault(window, Rolling(window))
+        rolling = worker_state(("windows", window), lambda: Rolling(window))
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for a, b, texts in slices(batch.column(1), ROUND_BYTES):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import WordTable, arrow, slices, stored
+from tellmark.llm.common import WordTable, arrow, slices, stored, worker_state
 from tellmark.llm.langid import sample_per_class
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -200,15 +200,8 @@ class Grammar:
                 break
 
 
-#: Symbols of words under the grammar that this worker used last.
-_tables: dict[str, WordTable] = {}
-
-
 def _symbols(grammar: Grammar) -> WordTable:
-    if grammar.token not in _tables:
-        _tables.clear()
-        _tables[grammar.token] = WordTable(grammar.read)
-    return _tables[grammar.token]
+    return worker_state(("grammar", grammar.token), lambda: WordTable(grammar.read))
 
 
 def learn(rows: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Grammar | None:
