@@ -3,11 +3,8 @@
 A document is its sequence of line hashes (lines without the white space around them). Documents of
 one sequence are a class; later copies of its smallest document lose all their lines. Every line
 leads the classes that hold it to the smallest of them, so a line that a third of all documents hold
-gives as many links as holders, not pairs. Two classes overlap when such links join them through
-
-* a rare line, held by at most ``RARE_DOCS`` classes, or
-* two or more different lines, however common (this finds the members of large groups of near
-  copies, whose lines are not rare any more).
+gives as many links as holders, not pairs. Two classes overlap when such a link joins them, however
+common the line is.
 
 Overlapping documents are aligned by patience diff: equal lines at both ends, then the lines that
 occur once on either side, in their longest common order, and the same again between them. Runs of
@@ -33,7 +30,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, rewritten, slices, stored
 
-RARE_DOCS = 16
 BLOCK_WORDS = 5
 BLANK = 0
 
@@ -123,51 +119,48 @@ def sequences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def overlapping(classes: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
-    """``rep`` and ``first``: classes joined with the first holder of lines that they share."""
-    held = classes.select("rep", F.explode(F.array_distinct("lines")).alias("h")).where(F.col("h") != BLANK)
-    holders = held.groupBy("h").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = held.join(holders, "h").where("rep <> first")
-    return shared.groupBy("rep", "first").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("least")).where(
-        (F.col("least") <= rare_docs) | (F.col("lines") > 1)
-    ).select("rep", "first")
+def overlapping(classes: DataFrame) -> DataFrame:
+    """``rep``, ``k1`` and ``first``: classes joined with the first holder of lines that they share."""
+    held = classes.select("rep", "k1", F.explode(F.array_distinct("lines")).alias("h")).where(F.col("h") != BLANK)
+    holders = held.groupBy("h").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return held.join(holders, "h").where("rep <> first").select("rep", "k1", "first").distinct()
 
 
 def _deleted(pairs: DataFrame, classes: DataFrame, block_words: int) -> DataFrame:
-    """``rep`` and the places of its lines to delete."""
-    schema = "rep long, places array<int>"
+    """``rep``, ``k1`` and the places of its lines to delete."""
+    schema = "rep long, k1 long, places array<int>"
     out = arrow(schema)
-    later = classes.select("rep", "lines", "words")
+    later = classes.select("rep", "k1", "lines", "words")
     earlier = classes.select(F.col("rep").alias("first"), F.col("lines").alias("others"))
-    both = pairs.join(earlier, "first").join(later, "rep").select("rep", "lines", "words", "others")
+    both = pairs.join(earlier, "first").join(later, ["rep", "k1"]).select("rep", "k1", "lines", "words", "others")
 
     def run(batches):
         for batch in batches:
             found = []
             for k in range(batch.num_rows):
-                rep, own, words, others = (c[k].as_py() for c in batch.columns)
+                rep, k1, own, words, others = (c[k].as_py() for c in batch.columns)
                 places = common_lines(own, others, words, block_words)
                 if places:
-                    found.append((rep, places))
+                    found.append((rep, k1, places))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), out)], schema=out)
 
     places = both.mapInArrow(run, schema)
-    return places.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    return places.groupBy("rep", "k1").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def deletions(docs: DataFrame, text: str = "text", key: str = "doc_id", rare_docs: int = RARE_DOCS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, text: str = "text", key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id``, ``t``, ``places`` of lines to delete (null: all), for documents that lose any (stored)."""
     seqs = stored(sequences(docs, text, key), "line-sequences")
     classes = seqs.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.any_value("lines").alias("lines"), F.any_value("words").alias("words")
     )
     classes = stored(classes, "line-classes")
-    pairs = stored(overlapping(classes, rare_docs), "line-pairs")
+    pairs = stored(overlapping(classes), "line-pairs")
     places = _deleted(pairs, classes, block_words)
     named = seqs.select("doc_id", "t", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     copies = named.where("doc_id <> rep").select("doc_id", "t", F.lit(None).cast("array<int>").alias("places"))
-    firsts = named.where("doc_id = rep").select("doc_id", "t", "rep").join(places, "rep").select("doc_id", "t", "places")
+    firsts = named.where("doc_id = rep").select("doc_id", "t", "rep", "k1").join(places, ["rep", "k1"]).select("doc_id", "t", "places")
     return stored(copies.unionByName(firsts).distinct(), "line-deletions")
 
 
