@@ -3,8 +3,10 @@
 A document is its sequence of line hashes (lines without the white space around them). Documents of
 one sequence are a class; later copies of its smallest document lose all their lines. Every line
 leads the classes that hold it to the smallest of them, so a line that a third of all documents hold
-gives as many links as holders, not pairs. Two classes overlap when such a link joins them, however
-common the line is.
+gives as many links as holders, not pairs. So does every shortest run of neighbouring lines with
+``BLOCK_WORDS`` words: each line of a common block lies in such a run inside the block, so the
+smallest class that holds the run is met, also where each line alone has another first holder. Two
+classes overlap when such a link joins them, however common the line or run is.
 
 Overlapping documents are aligned by patience diff: equal lines at both ends, then the lines that
 occur once on either side, in their longest common order, and the same again between them. Runs of
@@ -32,6 +34,11 @@ from tellmark.llm.common import BROADCAST_BYTES, arrow, boxed, rewritten, slices
 
 BLOCK_WORDS = 5
 BLANK = 0
+#: Odd multiplier of run hashes, its inverse, the value of a blank line and of the final mixing.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+BLANK_VALUE = np.uint64(0xC2B2AE3D27D4EB4F)
+MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def line_hash(line: str) -> int:
@@ -119,9 +126,53 @@ def sequences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def overlapping(classes: DataFrame) -> DataFrame:
-    """``rep``, ``k1`` and ``first``: classes joined with the first holder of lines that they share."""
-    held = classes.select("rep", "k1", F.explode(F.array_distinct("lines")).alias("h")).where(F.col("h") != BLANK)
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> np.ndarray:
+    """Distinct hashes of the shortest runs of two or more lines with at least ``least`` words that
+    begin or that end at each line (runs of one line are the line)."""
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    n = len(hashes)
+    ends = np.searchsorted(total, total[:-1] + least)
+    begins = np.searchsorted(total, total[1:] - least, side="right") - 1
+    begin, end = np.r_[np.arange(n), begins], np.r_[ends, np.arange(1, n + 1)]
+    use = (begin >= 0) & (end <= n) & (end - begin > 1)
+    begin, end = begin[use], end[use]
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    values = np.where(hashes == BLANK, BLANK_VALUE, hashes.view(np.uint64))
+    up, down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (BASE, INVERSE))
+    sums = np.r_[np.uint64(0), np.cumsum(values * up[:n], dtype=np.uint64)]
+    h = (sums[end] - sums[begin]) * down[begin]
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    h ^= h >> np.uint64(29)
+    return np.unique(h).view(np.int64)
+
+
+def _held(classes: DataFrame, block_words: int) -> DataFrame:
+    """``rep``, ``k1`` and ``h``: the lines and shortest runs of lines of every class, once each."""
+    schema = "rep long, k1 long, h long"
+    out = arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for k in range(batch.num_rows):
+                own, words = (np.asarray(batch.column(i)[k].values) for i in (2, 3))
+                single = np.unique(own)
+                found += [single[single != BLANK], run_hashes(own, words, block_words)]
+                at.append(len(found[-2]) + len(found[-1]))
+            if found:
+                at = np.repeat(np.arange(batch.num_rows), at)
+                keys = [pa.array(batch.column(i).to_numpy()[at]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(found))], schema=out)
+
+    return classes.select("rep", "k1", "lines", "words").mapInArrow(run, schema)
+
+
+def overlapping(classes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``rep``, ``k1`` and ``first``: classes joined with the first holder of lines, and of runs of
+    lines, that they share."""
+    held = _held(classes, block_words)
     holders = held.groupBy("h").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return held.join(holders, "h").where("rep <> first").select("rep", "k1", "first").distinct()
 
@@ -156,7 +207,7 @@ def deletions(docs: DataFrame, text: str = "text", key: str = "doc_id", block_wo
         F.min("doc_id").alias("rep"), F.any_value("lines").alias("lines"), F.any_value("words").alias("words")
     )
     classes = stored(classes, "line-classes")
-    pairs = stored(overlapping(classes), "line-pairs")
+    pairs = stored(overlapping(classes, block_words), "line-pairs")
     places = _deleted(pairs, classes, block_words)
     named = seqs.select("doc_id", "t", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     copies = named.where("doc_id <> rep").select("doc_id", "t", F.lit(None).cast("array<int>").alias("places"))
