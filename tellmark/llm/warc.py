@@ -10,9 +10,10 @@ becomes a file of compressed blocks of ``BLOCK_LINES`` lines and a directory fil
 offset and length of each block. The list of partitions, with their first keys, is the top level: one
 row for about a million captures.
 
-**Lookup.** A key is placed in its partition by binary search in the top level, in its block by binary
-search in the directory, and in the block by binary search among its lines. A block is read by one
-range read for all keys that need it; records are range reads too, in the order of their files.
+**Lookup.** A key is placed in its partition, or in all partitions that its rows run over, by binary
+search in the top level, in its block by binary search in the directory, and in the block by binary
+search among its lines. A block is read by one range read for all keys that need it; records are
+range reads too, in the order of their files.
 
 Null payloads count as empty. A null URL has the key ``-`` and no target header. Ids that are null
 order before all others. Rows that repeat become a record each (with the largest id: a response
@@ -38,6 +39,8 @@ from tellmark.llm.common import arrow, join_checked, scratch_path, stored, whole
 
 BLOCK_LINES = 1024
 PART_LINES = 1_000_000
+#: Rows that a lookup holds before it passes them on.
+BATCH_ROWS = 16_384
 ARCHIVE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -215,9 +218,11 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
     return stored(ordered.mapInArrow(run, schema), "index-parts")
 
 
-def _before(firsts: list, wanted) -> int:
-    """Place of the last entry whose first key is not behind the wanted one."""
-    return max(0, bisect.bisect_right(firsts, wanted) - 1)
+def _around(firsts: list, wanted) -> list[int]:
+    """Places of the entries that may hold the wanted key: from the last whose first key is before it
+    to the last whose first key equals it."""
+    begin = max(0, bisect.bisect_left(firsts, wanted) - 1)
+    return list(range(begin, max(begin + 1, bisect.bisect_right(firsts, wanted))))
 
 
 def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
@@ -232,14 +237,14 @@ def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast((firsts, [t[2] for t in top]))
 
-    @F.pandas_udf("int")
-    def part_of(surt, capture):
+    @F.pandas_udf("array<int>")
+    def parts_of(surt, capture):
         import pandas as pd
 
         where = shared.value[0]
-        return pd.Series([_before(where, wanted) for wanted in zip(surt, capture)], dtype="int32")
+        return pd.Series([_around(where, wanted) for wanted in zip(surt, capture)], dtype="object")
 
-    placed = keys.select("surt", "capture").distinct().withColumn("part", part_of("surt", "capture"))
+    placed = keys.select("surt", "capture").distinct().withColumn("part", F.explode(parts_of("surt", "capture")))
     placed = placed.repartition(len(top), "part").sortWithinPartitions("part", "surt", "capture")
 
     def run(batches):
@@ -264,6 +269,9 @@ def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
                             found.append((*wanted, *json.loads(entries[at][2])))
                             at += 1
                         block += 1
+                        if len(found) >= BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), out)], schema=out)
+                            found = []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), out)], schema=out)
 
