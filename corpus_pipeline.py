@@ -2,9 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and read again as the next stage's documents. All but the last return the columns of
-the documents. Null ids stay with their rows where a stage does not have to tell documents apart:
-line and near-duplicate stages need an id, and documents without one leave at the near-duplicate
-stage.
+the documents. Null ids stay with their rows: the line stage compares no documents without an id, the
+near-duplicate stage knows texts of null and of shared ids by a number.
 """
 
 from __future__ import annotations
@@ -39,12 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest document of each group of near duplicates."""
-    kept = jaccard.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stored(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    rows = boxed(docs, "text").withColumn("_kept", F.col("_row.doc_id").cast("long"))
+    named, name, _ = jaccard.named(docs)
+    kept = jaccard.judged(named, key=name).where("kept").groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stored(kept.select(F.col(name).alias("_kept"), "_rows"), "kept")
+    rows = boxed(named, "text").withColumn("_kept", F.col("_row").getField(name).cast("long"))
     rows = join_checked(rows, kept, "_kept", "inner", 32)
     once = unboxed(rows.where("_rows = 1"), docs.columns, "text", F.col("_text"))
-    # rows that share an id: one of them stays
+    # equal rows of an id: one of them stays
     several = rows.where("_rows > 1").groupBy("_kept").agg(F.min(F.struct("_text", "_row")).alias("_one"))
     return once.unionByName(unboxed(several.select("_one.*"), docs.columns, "text", F.col("_text")))
 

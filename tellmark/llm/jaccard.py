@@ -17,7 +17,9 @@ So nothing grows with the pairs of a group but the products inside tiles. Compon
 are the classes of near duplicates.
 
 Null, empty and blank texts have no runs and link with nothing. Rows that repeat an id count as
-documents each. Ids must not be null (such rows are left out). An empty table gives an empty result.
+documents each. Where an id is null or has several texts, rows are known by a number of their id and
+text (`named`), in the order of id and fingerprint of the text; null ids order before all others. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import arrow, join_checked, slices, stored, worker_state
+from tellmark.llm.common import arrow, free_name, join_checked, slices, stored, worker_state
 from tellmark.llm.components import components, merge_labels
 from tellmark.llm.substrings import Rolling
 
@@ -203,12 +205,42 @@ def _verified(tile_sets: DataFrame, threshold: float) -> DataFrame:
     return tile_sets.groupBy("a", "b").applyInArrow(run, schema)
 
 
+def named(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str, DataFrame | None]:
+    """``docs`` with a key that no two texts share and that is never null, its name, and ``n``,
+    ``doc_id`` of every key (stored; nothing, and the id itself as the key, where ids are such keys)."""
+    several = docs.groupBy(F.col(key).alias("doc_id")).agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    if several.where("doc_id is null or a <> b").isEmpty():
+        return docs, key, None
+    names = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t")).distinct().orderBy("doc_id", "t")
+    names = stored(names.withColumn("n", F.monotonically_increasing_id()), "text-names")
+    name, t, doc = (free_name(docs, x) for x in ("_name", "_t", "_doc"))
+    found = names.select(F.col("doc_id").alias(doc), F.col("t").alias(t), F.col("n").alias(name))
+    rows = docs.withColumn(t, F.xxhash64(text))
+    # the fingerprint spreads the rows of a frequent id; ids are compared null for null
+    rows = rows.join(found, (rows[t] == found[t]) & rows[key].eqNullSafe(found[doc])).select(*[rows[f"`{c}`"] for c in docs.columns], found[name])
+    return rows, name, names.select("n", "doc_id")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, text: str = "text",
     key: str = "doc_id", block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS,
 ) -> DataFrame:
     """One row per document: ``class_id`` (its smallest document), ``n_links`` (documents at or
     above the threshold) and ``kept`` (the document names its class)."""
+    rows, name, names = named(docs, text, key)
+    found = judged(rows, threshold, words, recall, text, name, block_rows, block_grams)
+    if names is None:
+        return found
+    of = names.select(F.col("n").alias("class_id"), F.col("doc_id").cast("long").alias("_class"))
+    found = found.join(names, F.col(name) == F.col("n")).drop("n").join(of, "class_id")
+    return found.select(F.col("doc_id").alias(key), F.col("_class").alias("class_id"), "n_links", "kept")
+
+
+def judged(
+    docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, text: str = "text",
+    key: str = "doc_id", block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS,
+) -> DataFrame:
+    """`near_duplicates` of rows whose key is never null and has one text."""
     bands, rows = banding(threshold, recall)
     signed = stored(signatures(docs, words, bands, rows, text, key), "signatures")
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(
