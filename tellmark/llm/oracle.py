@@ -43,4 +43,18 @@ STATEMENTS = {
     nodes AS (SELECT vec_id AS id FROM embeddings), {CLOSURE}
     SELECT n.id AS vec_id, coalesce(l.n, 0) AS n_links, component AS component_id, n.id = component AS kept
     FROM named n LEFT JOIN linked l ON l.id = n.id""",
+    "op13_ranked": r"""WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    words AS (SELECT r, doc_id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM lowered),
+    lens AS (SELECT r, doc_id, len(w) AS n FROM words WHERE len(w) > 0),
+    whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lens),
+    tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM words) GROUP BY r, term),
+    weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tfs, whole GROUP BY term),
+    asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id,
+        unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY q, item_id, term),
+    scored AS (SELECT q, any_value(item_id) AS item_id, r, any_value(l.doc_id) AS doc_id,
+        sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lens l USING (r), whole GROUP BY q, r),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import jaccard, langid, lines, neardup, neighbours, packing, pieces, substrings, toxicity, warc
+from tellmark.llm import jaccard, langid, lines, neardup, neighbours, packing, pieces, ranked, substrings, toxicity, warc
 from tellmark.llm.common import held_out, join_checked
 from tellmark.llm.oracle import STATEMENTS as SQL  # noqa: F401
 
@@ -78,3 +78,8 @@ def op9_lines(spark, d):
 @query
 def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op13_ranked(spark, d):
+    return ranked.search(ranked.build(table(spark, d, "documents")), table(spark, d, "benchmark"))
