@@ -57,4 +57,23 @@ STATEMENTS = {
         FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lens l USING (r), whole GROUP BY q, r),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
     SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op11_prefixes": r"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    codes AS (SELECT conv_id, list_transform(range(1, strlen(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT) AS c
+        FROM (SELECT DISTINCT conv_id FROM turns)),
+    convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(c, lambda a, b: list_reduce(range(0, 8),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295) % 4 AS h FROM codes),
+    parts AS (SELECT c.conv_id, 0 AS part, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND i <= h
+        UNION ALL SELECT c.conv_id, 1, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i > h),
+    rebuilt AS (SELECT conv_id, row_number() OVER w AS d, text, md5(string_agg(sha256(role) || sha256(text), '') OVER w) AS p
+        FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+    paths AS (SELECT conv_id, d, p, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+    linked AS (SELECT *, lag(p) OVER w AS parent, lead(p) OVER w IS NULL AS ending FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+    node AS (SELECT p, any_value(d) AS d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256 FROM linked GROUP BY p),
+    kids AS (SELECT parent AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY parent),
+    below AS (SELECT a.p, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((q.n_convs - 1) * q.words) AS saved
+        FROM node q JOIN paths a ON a.conv_id = q.conv_id AND a.d <= q.d LEFT JOIN kids k ON k.p = q.p GROUP BY a.p)
+    SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+    FROM node n JOIN below b ON b.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN node up ON up.p = n.parent AND n.d > 0""",
 }
