@@ -3,11 +3,13 @@ to the shared folder; ``scratch_path`` names a folder there."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -24,6 +26,13 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def file_store(path: str):
+    """File system and path of a folder of the cluster, for tasks."""
+    if "://" not in path:
+        path = re.sub("^file:", "", path)
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
     """Join on a unique key of ``right``. Its rows are counted: within ``BROADCAST_BYTES`` they
     are broadcast and ``left`` does not move, beyond it both sides shuffle."""

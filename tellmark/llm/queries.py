@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellmark.llm import jaccard, langid, lines, neardup, neighbours, packing, pieces, prefixes, ranked, substrings, toxicity, warc
+from tellmark.llm import jaccard, langid, lines, neardup, neighbours, ngrams, packing, pieces, prefixes, ranked, substrings, toxicity, warc
 from tellmark.llm.common import held_out, join_checked
 from tellmark.llm.oracle import STATEMENTS as SQL  # noqa: F401
 
@@ -85,6 +85,13 @@ def op11_prefixes(spark, d):
     return prefixes.trie(table(spark, d, "conversations"))
 
 
+@query
+def op12_language_model(spark, d):
+    docs = table(spark, d, "documents")
+    held = held_out(F.col("doc_id"), 7)
+    return ngrams.score(docs, ~held).withColumn("held_out", held)
+
+
 @query
 def op13_ranked(spark, d):
     return ranked.search(ranked.build(table(spark, d, "documents")), table(spark, d, "benchmark"))
