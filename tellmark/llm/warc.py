@@ -8,7 +8,7 @@ reports belong to the archive; what a lost task left behind is never read.
 **Index.** Captures are range-partitioned and sorted by (reversed-host URL key, id). Every partition
 becomes a file of compressed blocks of ``BLOCK_LINES`` lines and a directory file with the first key,
 offset and length of each block. The list of partitions, with their first keys, is the top level: one
-row for about a million captures.
+row for about a million captures, in the order of first and last keys.
 
 **Lookup.** A key is placed in its partition, or in all partitions that its rows run over, by binary
 search in the top level, in its block by binary search in the directory, and in the block by binary
@@ -32,16 +32,17 @@ import uuid
 import zlib
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tellmark.llm.common import arrow, join_checked, scratch_path, stored, whole_groups
+from tellmark.llm.common import arrow, file_store, join_checked, scratch_path, stored, whole_groups
 
 BLOCK_LINES = 1024
 PART_LINES = 1_000_000
 #: Rows that a lookup holds before it passes them on.
 BATCH_ROWS = 16_384
 ARCHIVE_BYTES = 1 << 30
+#: Bytes of archive that a task reads.
+FETCH_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = -(1 << 63)
@@ -66,13 +67,6 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (rest if rest[:1] == "/" else "/" + rest)
 
 
-def _store(path: str):
-    """File system and path of a folder of the cluster, for tasks."""
-    if "://" not in path:
-        path = re.sub("^file:", "", path)
-    return pyarrow.fs.FileSystem.from_uri(path)
-
-
 def record(capture: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC record. A revisit holds the HTTP head alone; its length line tells the full size."""
     name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'capture {i}')}>"
@@ -147,7 +141,7 @@ def write(pages: DataFrame, folder: str, url: str = "url", payload: str = "html"
     rows = rows.select("capture", "url", "payload", "sha", "refers_to")
 
     def run(batches):
-        fs, path = _store(folder)
+        fs, path = file_store(folder)
         sink = name = None
         place = 0
         for batch in batches:
@@ -174,27 +168,28 @@ def write(pages: DataFrame, folder: str, url: str = "url", payload: str = "html"
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
     """Write the blocks and directories under ``folder``; returns the top level (stored): ``part``,
-    ``first_surt``, ``first_capture``, ``blocks``."""
+    ``first_surt``, ``first_capture``, ``last_surt``, ``last_capture``, ``blocks``."""
     total = captures.count()
     least = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-total // PART_LINES))
     ordered = captures.repartitionByRange(parts, "surt", "capture", "file", "offset").sortWithinPartitions(
         "surt", "capture", "file", "offset"
     ).select("surt", "capture", "file", "offset", "length")
-    schema = "part string, first_surt string, first_capture long, blocks int"
+    schema = "part string, first_surt string, first_capture long, last_surt string, last_capture long, blocks int"
     out = arrow(schema)
 
     def run(batches):
-        fs, path = _store(folder)
-        part, place, lines, directory, first = uuid.uuid4().hex, 0, [], [], None
-        sink = None
+        fs, path = file_store(folder)
+        part, place, lines, directory = uuid.uuid4().hex, 0, [], []
+        sink = last = None
 
         def flush():
-            nonlocal place, first
+            nonlocal place, last
             data = _member("\n".join(f"{s} {c} {json.dumps([f, o, n])}" for s, c, f, o, n in lines).encode())
             sink.write(data)
             directory.append((*lines[0][:2], place, len(data)))
             place += len(data)
+            last = lines[-1][:2]
             lines.clear()
 
         for batch in batches:
@@ -212,7 +207,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
         sink.close()
         with fs.open_output_stream(f"{path}/{part}.directory.json", compression=None) as f:
             f.write(json.dumps(directory).encode())
-        cells = [part, *directory[0][:2], len(directory)]
+        cells = [part, *directory[0][:2], *last, len(directory)]
         yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, out)], schema=out)
 
     return stored(ordered.mapInArrow(run, schema), "index-parts")
@@ -228,14 +223,15 @@ def _around(firsts: list, wanted) -> list[int]:
 def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     """``surt``, ``capture``, ``file``, ``offset``, ``length`` of every capture that the distinct
     (``surt``, ``capture``) of ``keys`` name; keys without a capture give no row."""
-    top = sorted((r["first_surt"], r["first_capture"], r["part"]) for r in parts.collect())
+    # of parts that begin with one key, the one that goes on to further keys is the last
+    top = sorted((r["first_surt"], r["first_capture"], r["last_surt"], r["last_capture"], r["part"]) for r in parts.collect())
     firsts = [t[:2] for t in top]
     spark: SparkSession = keys.sparkSession
     schema = "surt string, capture long, file string, offset long, length long"
     out = arrow(schema)
     if not top:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((firsts, [t[2] for t in top]))
+    shared = spark.sparkContext.broadcast((firsts, [t[-1] for t in top]))
 
     @F.pandas_udf("array<int>")
     def parts_of(surt, capture):
@@ -248,7 +244,7 @@ def lookup(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     placed = placed.repartition(len(top), "part").sortWithinPartitions("part", "surt", "capture")
 
     def run(batches):
-        fs, path = _store(folder)
+        fs, path = file_store(folder)
         for group in whole_groups(batches, "part"):
             name = shared.value[1][group.column("part")[0].as_py()]
             with fs.open_input_file(f"{path}/{name}.directory.json") as f:
@@ -284,11 +280,13 @@ def fetch(located: DataFrame, folder: str) -> DataFrame:
         "capture long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     )
     out = arrow(schema)
-    rows = located.repartition("file", F.floor(F.col("offset") / (16 << 20)))
+    located = stored(located, "located")
+    size = located.agg(F.sum("length")).first()[0] or 0
+    rows = located.repartition(max(1, -(-size // FETCH_BYTES)), "file", F.floor(F.col("offset") / (16 << 20)))
     rows = rows.sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def run(batches):
-        fs, path = _store(folder)
+        fs, path = file_store(folder)
         name = f = None
         for batch in batches:
             found, held = [], 0

@@ -1,3 +1,5 @@
+import pytest
+
 from tellmark.llm import warc
 from test_warc import plain
 
@@ -11,6 +13,19 @@ def test_key_over_several_partitions(spark, monkeypatch):
     assert sorted(map(tuple, warc.round_trip(df).collect()), key=str) == plain_nulls(data)
 
 
+@pytest.mark.parametrize("partitions", [4, 16])
+def test_third_of_the_rows_on_one_key(spark, partitions):
+    data = [(None, None, f"own {i}") for i in range(10_000)] + [(i, f"http://h{i % 700}.org/{i}", f"page {i % 9000}") for i in range(20_000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted(map(tuple, warc.round_trip(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == plain_nulls(data)
+
+
 def plain_nulls(data):
     return sorted(((None if i == -1 else i, *more) for i, *more in plain([(i, u, h) for i, u, h in data])), key=str)
 
