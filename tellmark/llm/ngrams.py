@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tellmark.llm.common import arrow, file_store, scratch_path, slices, stored, whole_groups
 
-UNIT_BYTES = 2_000_000
+UNIT_BYTES = 4_000_000
 #: Words, and triples, that a shard takes about.
 SHARD_WORDS = 1_000_000
-SHARD_TRIPLES = 2_000_000
+SHARD_TRIPLES = 1_000_000
 DISCOUNT = 0.75
 #: Codes per decade; NOTHING stands for a frequency of 0, and for a weight of 1.
 SCALE, NOTHING = 32, 255
@@ -74,6 +74,14 @@ def unpack(data: bytes) -> np.ndarray:
     return values.reshape(-1).view(np.int64)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).view(np.uint64), dtype=np.uint64)
+
+
 def code(values: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.clip(np.rint(-np.log10(values) * SCALE), 0, NOTHING - 1).astype(np.uint8)
@@ -219,8 +227,9 @@ class Levels:
 
 
 def units(docs: DataFrame, learns: Column, folder: str, text: str, key: str, unit_bytes: int) -> DataFrame:
-    """Units as files under ``folder``; returns (stored) ``unit``, ``hashes`` and ``counts`` of its words, ``tokens``, ``learned``."""
-    schema = "unit string, hashes binary, counts binary, tokens long, learned long"
+    """Units as files under ``folder``; returns (stored) ``unit`` (file, place and length), ``tokens``, ``learned`` ones of them, and
+    distinct ``words``."""
+    schema = "unit string, tokens long, learned long, words long"
     out = arrow(schema)
 
     def run(batches):
@@ -245,13 +254,13 @@ def units(docs: DataFrame, learns: Column, folder: str, text: str, key: str, uni
                 rank[order] = np.arange(len(order))
                 word = rank[coded.indices.to_numpy(zero_copy_only=False)]
                 counts = np.bincount(word[np.repeat(train[a:b], n)], minlength=len(order))
-                data = [keys[a:b].tobytes(), train[a:b].tobytes(), pack(n), pack(word)]
+                data = [pack_sorted(hashes[order]), pack(counts), keys[a:b].tobytes(), train[a:b].tobytes(), pack(n), pack(word)]
                 data = np.array([len(x) for x in data], "<u8").tobytes() + b"".join(data)
                 if sink is None:
                     fs.create_dir(path, recursive=True)
                     sink = fs.open_output_stream(f"{path}/{name}", compression=None)
                 sink.write(data)
-                cells = [f"{name}:{place}:{len(data)}", hashes[order].tobytes(), pack(counts), len(word), int(counts.sum())]
+                cells = [f"{name}:{place}:{len(data)}", len(word), int(counts.sum()), len(order)]
                 place += len(data)
                 yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, out)], schema=out)
         if sink is not None:
@@ -261,17 +270,25 @@ def units(docs: DataFrame, learns: Column, folder: str, text: str, key: str, uni
     return stored(rows.mapInArrow(run, schema), "units")
 
 
-def _read_unit(fs, path: str, unit: str) -> tuple:
-    """Ids, whether learned, tokens per text, and the words as places among the unit's hashes."""
+def _read_unit(fs, path: str, unit: str, words_only: bool = False) -> list[np.ndarray]:
+    """Sorted hashes of the words of a unit and their counts; unless only these are wanted, also ids, whether
+    learned and tokens of each text, and the tokens as places among the hashes."""
     name, offset, length = unit.split(":")
     with fs.open_input_file(f"{path}/{name}") as f:
-        data = f.read_at(int(length), int(offset))
-    ends = np.cumsum(np.frombuffer(data, "<u8", 4)).astype(int) + 32
-    keys, train, n, word = (data[a:b] for a, b in zip(np.r_[32, ends[:-1]], ends))
-    return np.frombuffer(keys, np.int64), np.frombuffer(train, bool), unpack(n), unpack(word)
+        lens = np.frombuffer(f.read_at(48, int(offset)), "<u8").astype(np.int64)
+        parts = [pa.py_buffer(f.read_at(int(n), int(offset) + 48 + int(at))) for at, n in zip(np.cumsum(lens) - lens, lens[: 2 if words_only else 6])]
+    found = [unpack_sorted(parts[0].to_pybytes()), unpack(parts[1].to_pybytes())]
+    if words_only:
+        return found
+    return [*found, np.frombuffer(parts[2], np.int64), np.frombuffer(parts[3], bool), unpack(parts[4].to_pybytes()), unpack(parts[5].to_pybytes())]
 
 
-def vocabulary(found: DataFrame, shards: int) -> DataFrame:
+def _word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Equal ranges of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def vocabulary(found: DataFrame, folder: str, shards: int) -> DataFrame:
     """Per unit and word shard (stored): ``ids`` and ``counts`` of its words in the order of their hashes; rows without
     a unit tell the ``learned`` words of a shard."""
     asked = "shard int, unit string, hashes binary, counts binary"
@@ -279,17 +296,18 @@ def vocabulary(found: DataFrame, shards: int) -> DataFrame:
     ask, tell = arrow(asked), arrow(told)
 
     def split(batches):
+        fs, path = file_store(folder)
         for batch in batches:
-            for row in range(batch.num_rows):
-                hashes, counts = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint64), unpack(batch.column(2)[row].as_py())
-                some, own = zip(*_grouped((hashes % np.uint64(shards)).astype(np.int64)))
-                cells = [some, [batch.column(0)[row].as_py()] * len(own), [hashes[x].tobytes() for x in own], [pack(counts[x]) for x in own]]
+            for unit in batch.column(0).to_pylist():
+                hashes, counts = _read_unit(fs, path, unit, words_only=True)
+                some, own = zip(*_grouped(_word_shard(hashes, shards)))
+                cells = [some, [unit] * len(own), [pack_sorted(hashes[x]) for x in own], [pack(counts[x]) for x in own]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cells, ask)], schema=ask)
 
     def number(batches):
         for group in whole_groups(batches, "shard"):
             shard = group.column("shard")[0].as_py()
-            own = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+            own = [unpack_sorted(x) for x in group.column("hashes").to_pylist()]
             hashes, at = np.unique(np.concatenate(own), return_inverse=True)
             total = np.bincount(at, np.concatenate([unpack(x) for x in group.column("counts").to_pylist()]), len(hashes)).astype(np.int64)
             rank = np.empty(len(hashes), np.int64)
@@ -304,7 +322,7 @@ def vocabulary(found: DataFrame, shards: int) -> DataFrame:
             cells = [None, shard, None, None, None, None, int((total > 0).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, tell)], schema=tell)
 
-    rows = found.select("unit", "hashes", "counts").mapInArrow(split, asked).repartition(shards, "shard").sortWithinPartitions("shard")
+    rows = found.select("unit").mapInArrow(split, asked).repartition(shards, "shard").sortWithinPartitions("shard")
     return stored(rows.mapInArrow(number, told), "vocabulary")
 
 
@@ -366,23 +384,20 @@ def _parts(counts: np.ndarray, shards: int, learned: int) -> np.ndarray:
     return np.maximum(1, -(-counts * shards // max(learned, 1)))
 
 
-def exchange(words: DataFrame, found: DataFrame, folder: str, word_shards: int, shards: int, learned: int, texts: int, discount: float) -> DataFrame:
+def exchange(words: DataFrame, folder: str, word_shards: int, shards: int, learned: int, texts: int, discount: float) -> DataFrame:
     """Per unit and shard (stored): the codes of its triples, pairs and first words; rows without a unit name
     the file of a shard's levels, or tell the followers of words that are split over shards."""
     asked = "shard int, unit string, first binary, second binary, third binary, n binary, count binary"
     told = "unit string, shard int, a binary, b binary, c binary, d binary, learned long"
     ask, tell = arrow(asked), arrow(told)
-    rows = words.where("unit is not null").select("unit", "shard", "a", "b").unionByName(
-        found.select("unit", F.lit(-1).alias("shard"), F.col("hashes").alias("a"), F.lit(None).cast("binary").alias("b"))
-    )
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "shard")
+    rows = words.where("unit is not null").select("unit", "shard", "a", "b").repartition("unit").sortWithinPartitions("unit", "shard")
 
     def request(batches):
         fs, path = file_store(folder)
         for group in whole_groups(batches, "unit"):
             unit = group.column("unit")[0].as_py()
-            _, train, n, word = _read_unit(fs, path, unit)
-            w = _windows(n, train, word, *_words_of(group, word_shards), texts)
+            hashes, _, _, train, n, word = _read_unit(fs, path, unit)
+            w = _windows(n, train, word, *_words_of(hashes, group, word_shards), texts)
             where = _pair_shards(w, shards, learned)
             count = np.bincount(w.triple_at[w.learned], minlength=len(w.third))
             for s, triples in _grouped(where[w.pair]):
@@ -409,17 +424,12 @@ def _grouped(shard: np.ndarray):
         yield int(shard[places[0]]), places
 
 
-def _words_of(group: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of the words of a unit in the order of its hashes: the first row holds the hashes, the others the
-    answers of the word shards in turn."""
-    known = group.column("shard").to_numpy()
-    a, b = group.column("a"), group.column("b")
-    hashes = np.frombuffer(a[int(np.flatnonzero(known == -1)[0])].as_buffer(), np.uint64)
+def _words_of(hashes: np.ndarray, group: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the words of a unit, from the answers of the word shards."""
     ids, counts = np.zeros((2, len(hashes)), np.int64)
-    where = (hashes % np.uint64(shards)).astype(np.int64)
-    row_of = {s: i for i, s in enumerate(known.tolist())}
-    for s, places in _grouped(where):
-        ids[places], counts[places] = unpack(a[row_of[s]].as_py()), unpack(b[row_of[s]].as_py())
+    places = dict(_grouped(_word_shard(hashes, shards)))
+    for s, a, b in zip(*[group.column(c).to_pylist() for c in ("shard", "a", "b")]):
+        ids[places[s]], counts[places[s]] = unpack(a), unpack(b)
     return ids, counts
 
 
@@ -462,7 +472,7 @@ def _answer(group: pa.Table, fs, path: str, shards: int, learned: int, discount:
     yield row(None, shard, file.encode(), pack(known[split]), pack(followers[split]), None, len(triples))
 
 
-def scores(words: DataFrame, found: DataFrame, answers: DataFrame, folder: str, word_shards: int, shards: int, learned: int, distinct: int, texts: int, discount: float, key: str) -> DataFrame:
+def scores(words: DataFrame, answers: DataFrame, folder: str, word_shards: int, shards: int, learned: int, distinct: int, texts: int, discount: float, key: str) -> DataFrame:
     schema = f"`{key}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = arrow(schema)
     # at most one word per shard is split
@@ -470,19 +480,16 @@ def scores(words: DataFrame, found: DataFrame, answers: DataFrame, folder: str,
     for r in answers.where("unit is null").select("b", "c").toLocalIterator():
         for i, t in zip(unpack(bytes(r["b"])).tolist(), unpack(bytes(r["c"])).tolist()):
             split[i] = split.get(i, 0) + t
-    nothing = F.lit(None).cast("binary")
-    rows = found.select("unit", F.lit(-1).alias("shard"), F.col("hashes").alias("a"), nothing.alias("b"), nothing.alias("c"), nothing.alias("d"), F.lit(0).alias("kind"))
-    for kind, more in enumerate((words, answers)):
-        rows = rows.unionByName(more.where("unit is not null").select("unit", "shard", "a", "b", "c", "d", F.lit(kind).alias("kind")))
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "kind", "shard")
+    told = [x.where("unit is not null").select("unit", "shard", "a", "b", "c", "d", F.lit(kind).alias("kind")) for kind, x in enumerate((words, answers))]
+    rows = told[0].unionByName(told[1]).repartition("unit").sortWithinPartitions("unit", "kind", "shard")
 
     def run(batches):
         fs, path = file_store(folder)
         for group in whole_groups(batches, "unit"):
             kind = group.column("kind").to_numpy()
             half = int(np.searchsorted(kind, 1))
-            keys, train, n, word = _read_unit(fs, path, group.column("unit")[0].as_py())
-            ids, counts = _words_of(group.slice(0, half), word_shards)
+            hashes, _, keys, train, n, word = _read_unit(fs, path, group.column("unit")[0].as_py())
+            ids, counts = _words_of(hashes, group.slice(0, half), word_shards)
             w = _windows(n, train, word, ids, counts, texts)
             weight1, frequency2 = np.ones(len(w.ids)), np.zeros(len(w.first))
             weight2, frequency3 = np.ones(len(w.first)), np.zeros(len(w.third))
@@ -518,12 +525,11 @@ def score(
     ``train_tokens``, ``base_score`` (single words) and ``score`` (the model), in log10."""
     folder = scratch_path(docs.sparkSession, "ngrams")
     found = units(docs, learns, folder, text, key, unit_bytes)
-    sums = found.agg(F.sum("tokens"), F.sum("learned"), F.sum(F.length("hashes") / 8)).first()
+    sums = found.agg(F.sum("tokens"), F.sum("learned"), F.sum("words")).first()
     total, learned, distinct = (int(x or 0) for x in sums)
     texts = docs.where(learns).count()
     word_shards, shards = max(1, -(-distinct // shard_words)), max(1, -(-total // shard_triples))
-    words = vocabulary(found, word_shards)
+    words = vocabulary(found, folder, word_shards)
     kinds = int(words.agg(F.sum("learned")).first()[0] or 0)
-    found = found.select("unit", "hashes")
-    answers = exchange(words, found, folder, word_shards, shards, learned, texts, discount)
-    return scores(words, found, answers, folder, word_shards, shards, learned, kinds, texts, discount, key)
+    answers = exchange(words, folder, word_shards, shards, learned, texts, discount)
+    return scores(words, answers, folder, word_shards, shards, learned, kinds, texts, discount, key)
