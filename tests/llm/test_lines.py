@@ -5,33 +5,44 @@ from collections import Counter, defaultdict
 from tellmark.llm import lines
 
 
-def plain(data, rare=16, least=5):
-    """Every earlier document in turn."""
+def runs(seq, words, least=5):
+    """Single lines, and shortest runs of lines with so many words, as tuples."""
+    out = {(h,) for h in seq if h}
+    for i in range(len(seq)):
+        for ends in (range(i + 1, len(seq) + 1), range(i, -1, -1)):
+            spans = [(min(i, e), max(i + 1, e)) for e in ends]
+            span = next((x for x in spans if sum(words[x[0] : x[1]]) >= least), None)
+            if span:
+                out.add(tuple(seq[span[0] : span[1]]))
+    return out
+
+
+def plain(data, least=5):
+    """Each text beside the texts of the first holders of its lines and of its shortest runs of lines."""
     seq = {}
     for d, t in data:
         if t and t.strip():
-            seq[d, t] = [lines.line_hash(x) for x in t.split("\n")]
-    rep = {}
-    for (d, t), s in seq.items():
-        rep[tuple(s)] = min(rep.get(tuple(s), d), d)
-    holders = defaultdict(set)
+            seq[d, t] = tuple(lines.line_hash(x) for x in t.split("\n")), [len(x.split()) for x in t.split("\n")]
+    rep, keys, first = {}, {}, {}
+    for (d, _), (s, words) in seq.items():
+        rep[s] = min(rep.get(s, d), d)
+        keys[s] = runs(s, words, least)
     for s, d in rep.items():
-        for h in set(s) - {0}:
-            holders[h].add(d)
+        for x in keys[s]:
+            first[x] = min(first.get(x, d), d)
     out = []
     for d, t in data:
         if (d, t) not in seq:
             out.append((d, 0, 0, hashlib.sha256((t or "").encode()).hexdigest()))
             continue
-        s, own, gone = seq[d, t], t.split("\n"), set()
-        if rep[tuple(s)] != d:
+        (s, words), own, gone = seq[d, t], t.split("\n"), set()
+        if rep[s] != d:
             gone = set(range(len(own)))
         else:
-            words = [len(x.split()) for x in own]
+            partners = {first[x] for x in keys[s]} - {d}
             for other, e in rep.items():
-                shared = [h for h in set(s) - {0} if min(holders[h]) == e] if e < d else []
-                if len(shared) > 1 or any(len(holders[h]) <= rare for h in shared):
-                    gone.update(lines.common_lines(s, list(other), words, least))
+                if e in partners:
+                    gone.update(lines.common_lines(list(s), list(other), words, least))
         kept = "\n".join(x for i, x in enumerate(own) if i not in gone)
         out.append((d, len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -91,14 +102,16 @@ def test_alignment():
 
 def test_first_holder_keeps_its_lines(spark):
     data = rows()
-    texts = dict(data)
-    kept = {r["doc_id"]: r["text"] for r in lines.clean(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    seen = set()
+    texts, kept, seen = defaultdict(list), defaultdict(list), set()
+    for d, t in data:
+        texts[d] += (t or "").split("\n")
+    for r in lines.clean(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        kept[r["doc_id"]] += (r["text"] or "").split("\n")
     for d in sorted(texts):
-        for x in (texts[d] or "").split("\n"):
+        for x in texts[d]:
             if x.strip() and x.strip() not in seen:
                 seen.add(x.strip())
-                assert x in (kept[d] or "").split("\n") or list(dict(data)).count(d) > 1
+                assert x in kept[d]
 
 
 def test_empty_table_and_null_id(spark):

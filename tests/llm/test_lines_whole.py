@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tellmark.llm import lines
-from test_lines import plain, rows
+from test_lines import plain, rows, runs
 
 
 def test_common_line_leaves_all_but_its_first_holder(spark):
@@ -13,18 +13,6 @@ def test_common_line_leaves_all_but_its_first_holder(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, int(i > 0)) for i in range(40)]
 
 
-def runs(seq, words, least=5):
-    """Single lines, and shortest runs of lines with so many words, as tuples."""
-    out = {(h,) for h in seq if h}
-    for i in range(len(seq)):
-        for ends in (range(i + 1, len(seq) + 1), range(i, -1, -1)):
-            spans = [(min(i, e), max(i + 1, e)) for e in ends]
-            span = next((x for x in spans if sum(words[x[0] : x[1]]) >= least), None)
-            if span:
-                out.add(tuple(seq[span[0] : span[1]]))
-    return out
-
-
 def test_equals_plain_version_with_first_holders_of_lines_and_runs(spark):
     data = list(dict(rows()).items())
     data = [(d, t) for d, t in data if t and t.strip()]
@@ -39,8 +27,7 @@ def test_equals_plain_version_with_first_holders_of_lines_and_runs(spark):
         want.append((d, len(gone)))
     got = lines.digests(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == want
-    least = {d: n for d, _, n, _ in plain(data, rare=len(data))}
-    assert all(n >= least[d] for d, n in want)
+    assert want == sorted((d, n) for d, _, n, _ in plain(data))
 
 
 def every_earlier(data, least=5):
