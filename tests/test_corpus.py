@@ -162,7 +162,7 @@ def test_vocabulary_sees_train_rows_only(spark):
 
 def test_bootstrap_refuses_a_larger_sample(spark):
     df = spark.createDataFrame([(i, "I went") for i in range(3)], "id long, text string")
-    with pytest.raises(ValueError, match="larger sample"):
+    with pytest.raises(ValueError, match="reference of at least as many"):
         reports.opener_bootstrap(df, df.where("id < 2"), "id")
 
 
