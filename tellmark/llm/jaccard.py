@@ -9,11 +9,11 @@ are candidates:
 * they are put into blocks: every class goes to the smallest class that it shares a band with, and
   large groups are cut by a hash, at ``BLOCK_ROWS`` classes or ``BLOCK_GRAMS`` runs;
 * a pair of blocks that meets in any band is a tile, once, however many bands agree;
-* a tile compares full sets of all its pairs by one product of 0/1 matrices (runs that only one
-  class has are left out, columns go in parts), and returns the number of links of each class and
-  a spanning forest of the links.
+* a block travels as one row, so a tile is two rows; it compares full sets of all its pairs by one product
+  of 0/1 matrices (runs that only one class has are left out, columns go in parts), and returns the
+  number of links of each class and a spanning forest of the links.
 
-So nothing grows with the pairs of a group but the products inside tiles. Components of the forests
+So nothing grows with the pairs of a group but the products inside tiles, one for 262,144 pairs. Components of the forests
 are the classes of near duplicates.
 
 Null, empty and blank texts have no runs and link with nothing. Rows that repeat an id count as
@@ -177,18 +177,34 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verified(tile_sets: DataFrame, threshold: float) -> DataFrame:
+def _packed(sets: DataFrame) -> DataFrame:
+    """One row per block: classes, members and set sizes of each, and all sets one after another."""
+    schema = "blk long, reps binary, members binary, sizes binary, grams binary"
+    out = arrow(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, place = np.unique(table.column("rep").to_numpy(), return_index=True)
+        table = table.take(pa.array(place))
+        grams = table.column("grams").to_pylist()
+        sizes = np.array([len(g) // 8 for g in grams], np.int64)
+        cells = [table.column("blk")[0].as_py(), reps.tobytes(), table.column("m").to_numpy().tobytes(), sizes.tobytes(), b"".join(grams)]
+        return pa.Table.from_arrays([pa.array([c], t.type) for c, t in zip(cells, out)], schema=out)
+
+    return sets.groupBy("blk").applyInArrow(run, schema)
+
+
+def _verified(tile_blocks: DataFrame, threshold: float) -> DataFrame:
     """``rep`` with ``links`` (members of linked classes), and with ``other``, a link to follow."""
     schema = "rep long, links long, other long"
     out = arrow(schema)
 
     def run(table: pa.Table) -> pa.Table:
         same = table.column("a")[0] == table.column("b")[0]
-        ids, place = np.unique(table.column("rep").to_numpy(), return_index=True)
-        table = table.take(pa.array(place))
-        side, m = table.column("side").to_numpy(), table.column("m").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        size = np.array([len(s) for s in sets])
+        numbers = lambda name: [np.frombuffer(x.as_buffer(), np.int64) for x in table.column(name)]
+        ids, m, sizes = numbers("reps"), numbers("members"), numbers("sizes")
+        side = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        sets = [s for g, n in zip(numbers("grams"), sizes) for s in np.split(g, np.cumsum(n)[:-1])]
+        ids, m, size = np.concatenate(ids), np.concatenate(m), np.concatenate(sizes)
         both = overlaps(sets)
         i, j = np.nonzero(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6)
         use = (i < j) & (same or (side[i] != side[j]))
@@ -202,7 +218,7 @@ def _verified(tile_sets: DataFrame, threshold: float) -> DataFrame:
             [pa.array(np.r_[ids[some], ids[joined]]), pa.array(np.r_[counts[some], np.zeros(len(joined), np.int64)]), other], schema=out
         )
 
-    return tile_sets.groupBy("a", "b").applyInArrow(run, schema)
+    return tile_blocks.groupBy("a", "b").applyInArrow(run, schema)
 
 
 def named(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str, DataFrame | None]:
@@ -263,11 +279,9 @@ def judged(
     tiles = stored(met.select("a", "b").distinct(), "tiles")
 
     chosen = placed.join(classes.select("rep", "m", "k1", "k2"), "rep")
-    sets = stored(_sets(docs, chosen, words, text, key), "sets")
-    sides = tiles.select("a", "b", F.col("a").alias("blk"), F.lit(0).alias("side")).unionByName(
-        tiles.where("a <> b").select("a", "b", F.col("b").alias("blk"), F.lit(1).alias("side"))
-    )
-    found = stored(_verified(sides.join(sets, "blk").select("a", "b", "side", "rep", "m", "grams"), threshold), "tile-links")
+    blocks = stored(_packed(_sets(docs, chosen, words, text, key)), "block-sets")
+    sides = tiles.select("a", "b", F.col("a").alias("blk")).unionByName(tiles.where("a <> b").select("a", "b", F.col("b").alias("blk")))
+    found = stored(_verified(sides.join(blocks, "blk"), threshold), "tile-links")
 
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("_links"))
     reached = components(found.where("other is not null"), "rep", "other").withColumnRenamed("node", "rep")
