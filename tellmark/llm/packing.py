@@ -30,6 +30,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tellmark.llm.common import WordTable, arrow, slices, stored, take_ragged, worker_state
@@ -42,6 +43,35 @@ BUCKET_ROWS = 4096
 PIECE_SCHEMA = "{key} {kind}, piece int, start long, length long, ids_crc32 long"
 
 
+class KeptWords(WordTable):
+    """A word table that keeps, when it is full, the words that several rounds met."""
+
+    hits = np.zeros(0, np.int64)
+
+    def distinct(self, words: list) -> np.ndarray:
+        """The places of distinct words."""
+        if self.index and len(self.index) + len(set(words).difference(self.index)) > self.limit:
+            self._shrink()
+        at = self(words)
+        self.hits = np.r_[self.hits, np.zeros(len(self.lens) - len(self.hits), np.int64)]
+        self.hits[at] += 1
+        return at
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.hits = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+        words = np.array(list(self.index), object)[keep].tolist()
+        flat, lens, hits = take_ragged(self.flat, self.starts[keep], self.lens[keep]), self.lens[keep], self.hits[keep] // 2
+        self._clear()
+        self.index = dict(zip(words, range(len(words))))
+        self.flat, self.used, self.lens, self.starts, self.hits = flat, len(flat), lens, np.cumsum(lens) - lens, hits
+
+
 class Tokens:
     """Ids of texts; each word of a worker's texts is tokenised once.
 
@@ -55,7 +85,9 @@ class Tokens:
     """
 
     #: A word that both ways split alike, with the space in front of it or without.
-    PLAIN = r"[!-~\u00a1-\u024f]+"
+    PLAIN = r"[!-~\x{a1}-\x{24f}]+"
+    #: Texts whose white space is more than single spaces and line ends between visible characters.
+    UNEVEN = r"[\x00\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     ROW = 2048
 
@@ -68,10 +100,9 @@ class Tokens:
         plain = type(self.lib.pre_tokenizer).__name__ == "ByteLevel" and self.lib.normalizer is None
         self.whole = not plain or any(re.search(r"\s", t) for t in added)
         self.cut = re.compile(r" (?<=\S )(?=\S)")
-        self.spaced, self.bare = re.compile(" " + self.PLAIN), re.compile(self.PLAIN)
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.added = [t for t in added]
         self.rows = None if self.whole else self._ranks(json.loads(content), added)
-        self.words = WordTable(self._encode)
+        self.words = KeptWords(self._encode)
 
     def _ranks(self, spec: dict, added: list[str]):
         """The merges as an encoder of long rows, or None where ids do not follow the merges."""
@@ -91,12 +122,13 @@ class Tokens:
         return tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spaced, bare, rest = [], [], []
-        for i, w in enumerate(words):
-            if self.rows is None or self.added.search(w):
-                rest.append(i)
-            else:
-                (spaced if self.spaced.fullmatch(w) else bare if self.bare.fullmatch(w) else rest).append(i)
+        column = pa.array(words, pa.string())
+        like = lambda pattern: pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False).astype(bool)
+        own = np.full(len(words), self.rows is None)
+        for token in self.added:
+            own |= pc.match_substring(column, token).to_numpy(zero_copy_only=False).astype(bool)
+        with_space, without = like(rf"\A {self.PLAIN}\z") & ~own, like(rf"\A{self.PLAIN}\z") & ~own
+        spaced, bare, rest = (np.flatnonzero(x).tolist() for x in (with_space, without, ~(with_space | without)))
         flat, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
 
         def add(ids: np.ndarray, firsts: np.ndarray, skip: int, many: int) -> None:
@@ -139,16 +171,31 @@ class Tokens:
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the bounds of each text in them."""
-        words, counts = [], []
-        for text in texts:
-            own = self._split(text) if text else []
-            words += own
-            counts.append(len(own))
-        at = self.words(words)
+        column = pa.array(texts, pa.large_string()).fill_null("")
+        uneven = pc.match_substring_regex(column, self.UNEVEN).to_numpy(zero_copy_only=False).astype(bool)
+        uneven |= self.whole
+        # the words of even texts are cut outside Python
+        even = column.filter(pa.array(~uneven))
+        for old, new in ((" ", "\0 "), ("\n", "\0\n\0")):
+            even = pc.replace_substring(even, old, new)
+        lists = pc.split_pattern(even, "\0")
+        # an empty text is one empty word, which has no ids
+        split = [self._split(texts[i]) for i in np.flatnonzero(uneven).tolist()]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~uneven] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        counts[uneven] = [len(x) for x in split]
+        words = pa.concat_arrays([lists.flatten(), pa.array([w for x in split for w in x], pa.large_string())])
+        coded = words.dictionary_encode()
+        at = self.words.distinct(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        # back from even and uneven texts to the order of the texts
+        order = np.r_[np.flatnonzero(~uneven), np.flatnonzero(uneven)]
+        first = np.empty(len(texts), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        at = take_ragged(at, first, counts)
         lens = self.words.lens[at]
         ids = take_ragged(self.words.flat, self.words.starts[at], lens)
         ends = np.r_[0, np.cumsum(lens)]
-        return ids, ends[np.r_[0, np.cumsum(counts)].astype(np.int64)]
+        return ids, ends[np.r_[0, np.cumsum(counts)]]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
