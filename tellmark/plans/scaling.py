@@ -10,10 +10,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tellmark.session import settle
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 #: A key with more rows than this is hot; at most so many of them are salted, AQE splits the others.
@@ -154,39 +156,50 @@ def rank_cuts(
     return list(out.values())
 
 
+#: Rows that one range of a running sum takes about, and ranges that one step of the offsets takes.
+RANGE_ROWS = 1_000_000
+RANGES = 1024
+
+
 def running_totals(
-    df: DataFrame, score: str, values: list[str], descending: bool = True, buckets: int = 256
+    df: DataFrame, score: str, values: list[str], descending: bool = True, by: tuple[str, ...] = (), range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Add ``cum_<v>`` for each value column, ordered by a double column of distinct values.
+    """Add ``cum_<v>`` for each value column, in the order of a column of distinct values (within ``by``).
 
-    Rows are cut into ranges at sampled quantiles of ``score``. Sums run inside a range and
-    start from the total of the ranges before it, a table of at most ``buckets`` rows. The
-    cut points only decide the spread; the sums are exact for any cut points.
+    Rows are stored in ranges of about ``range_rows`` rows, so there are as many ranges as the rows
+    need. Sums run inside a range and start from the total of the ranges before it, which is
+    summed in two steps: over groups of ``RANGES`` ranges, and inside a group.
     """
-    inner = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.approxQuantile(score, inner, 0.5 / buckets)))
-    if len(edges) > 1:
-        ranged = Bucketizer(
-            splits=[float("-inf"), *edges, float("inf")], inputCol=score, outputCol="_range"
-        ).transform(df)
-    else:
-        ranged = df.withColumn("_range", F.lit(0.0))
     direction = F.desc if descending else F.asc
-    before = Window.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    starts = starts.select(
-        "_range", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_s_{v}") for v in values]
+    stored = settle(df, "points")
+    parts = -(-stored.count() // range_rows)
+    if parts > 1:
+        ranged = stored.repartitionByRange(parts, *by, direction(score)).withColumn("_range", F.spark_partition_id())
+        stored = settle(ranged, "ranges")
+    else:
+        stored = stored.withColumn("_range", F.lit(0))
+    keys = [*by, "_range"]
+    inside = Window.partitionBy(*keys).orderBy(direction(score)).rowsBetween(Window.unboundedPreceding, 0)
+    out = stored.select("*", *[F.sum(v).over(inside).alias(f"cum_{v}") for v in values])
+    if parts <= 1:
+        return out.drop("_range")
+    starts = stored.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values]).withColumn("_group", F.floor(F.col("_range") / RANGES))
+    groups = starts.groupBy(*by, "_group").agg(*[F.sum(f"_t_{v}").alias(f"_t_{v}") for v in values])
+
+    def before(frame: DataFrame, within: list[str], order: str, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return frame.select("*", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"{prefix}{v}") for v in values])
+
+    far, near = before(groups, [*by], "_group", "_f_"), before(starts, [*by, "_group"], "_range", "_n_")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_group")]
+    offsets = near.alias("a").join(far.alias("b"), reduce(and_, same)).select(
+        *[f"a.{c}" for c in keys], *[(F.col(f"_f_{v}") + F.col(f"_n_{v}")).alias(f"_s_{v}") for v in values]
     )
-    inside = Window.partitionBy("_range").orderBy(direction(score)).rowsBetween(
-        Window.unboundedPreceding, 0
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    joined = out.alias("a").join(offsets.alias("b"), reduce(and_, same))
+    return joined.select(
+        *[f"a.{c}" for c in df.columns], *[(F.col(f"cum_{v}") + F.col(f"_s_{v}")).alias(f"cum_{v}") for v in values]
     )
-    out = ranged
-    for v in values:
-        out = out.withColumn(f"cum_{v}", F.sum(v).over(inside))
-    out = out.join(F.broadcast(starts), "_range")
-    for v in values:
-        out = out.withColumn(f"cum_{v}", F.col(f"cum_{v}") + F.col(f"_s_{v}")).drop(f"_s_{v}")
-    return out.drop("_range")
 
 
 def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:

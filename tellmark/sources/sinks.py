@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tellmark import config as cfg
 from tellmark.config import VectorSpec
 from tellmark.functions.text import output_tag
-from tellmark.operators.learn import Features, Fitted
+from tellmark.operators.boosting import BoostedTrees
+from tellmark.operators.learn import Features
+from tellmark.operators.svm import Margins
 
 
 def write_generated(df: DataFrame, path: str) -> None:
@@ -38,22 +39,20 @@ def write_split(df: DataFrame, path: str, key: str = "id") -> None:
     df.select(key, "split").write.mode("overwrite").parquet(path)
 
 
-SPEC_SCHEMA = "gamma double, dims int, seed long, spec string"
+MODELS = {m.__name__: m for m in (Margins, BoostedTrees)}
 
 
-def write_model(fitted: Fitted, feats: Features, path: str) -> None:
-    """A fitted model with all that scoring new texts needs: the transform in front of it, the
-    vocabulary, and the limits of the vectoriser."""
+def write_model(fitted: Margins | BoostedTrees, feats: Features, path: str) -> None:
+    """A fitted model with all that scoring new texts needs: the vocabulary, and the limits of the
+    vectoriser."""
     spark = feats.vectors.sparkSession
-    fitted.model.write().overwrite().save(f"{path}/model")
     feats.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    row = (fitted.gamma, fitted.dims, fitted.seed, json.dumps(asdict(feats.spec)))
-    spark.createDataFrame([row], SPEC_SCHEMA).write.mode("overwrite").json(f"{path}/transform")
+    row = (type(fitted).__name__, fitted.text(), json.dumps(asdict(feats.spec)))
+    spark.createDataFrame([row], "kind string, model string, spec string").write.mode("overwrite").parquet(f"{path}/model")
 
 
-def read_model(spark: SparkSession, path: str) -> tuple[Fitted, DataFrame, VectorSpec]:
+def read_model(spark: SparkSession, path: str) -> tuple[Margins | BoostedTrees, DataFrame, VectorSpec]:
     """The model ready to score, its vocabulary, and the limits its vectoriser had."""
-    row = spark.read.schema(SPEC_SCHEMA).json(f"{path}/transform").first()
+    row = spark.read.parquet(f"{path}/model").first()
     spec = json.loads(row["spec"])
-    fitted = Fitted(PipelineModel.load(f"{path}/model"), row["gamma"], row["dims"], row["seed"])
-    return fitted, spark.read.parquet(f"{path}/vocabulary"), VectorSpec(**{**spec, "ngrams": tuple(spec["ngrams"])})
+    return MODELS[row["kind"]].read(row["model"]), spark.read.parquet(f"{path}/vocabulary"), VectorSpec(**{**spec, "ngrams": tuple(spec["ngrams"])})

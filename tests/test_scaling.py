@@ -1,10 +1,12 @@
 """Both ways of every guarded shape give the same rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tellmark.plans import scaling
 from tellmark.plans.scaling import exact_rank, frame_bytes, guarded_join, rank_cuts, running_totals
 
 
@@ -53,13 +55,29 @@ def test_rank_cuts(spark, skewed):
         assert c["half"] == (hs[len(hs) // 2 - 1] if len(hs) > 1 else None)
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_running_totals(spark, buckets):
+@pytest.mark.parametrize("range_rows", [7, 40, 10**6])
+@pytest.mark.parametrize("ranges", [2, 1024])
+@pytest.mark.parametrize("descending", [True, False])
+def test_running_totals(spark, monkeypatch, range_rows, ranges, descending):
+    monkeypatch.setattr(scaling, "RANGES", ranges)
     rng = random.Random(2)
-    rows = [(float(s), rng.randrange(5)) for s in rng.sample(range(1000), 300)]
-    got = running_totals(spark.createDataFrame(rows, "s double, v long"), "s", ["v"], buckets=buckets)
-    total, want = 0, {}
-    for s, v in sorted(rows, reverse=True):
-        total += v
-        want[s] = total
-    assert {r["s"]: r["cum_v"] for r in got.collect()} == want
+    rows = [(g, float(s), rng.randrange(5)) for g in ("a", "b", None) for s in rng.sample(range(1000), 120)]
+    got = running_totals(spark.createDataFrame(rows, "g string, s double, v long"), "s", ["v"], descending, ("g",), range_rows)
+    total, want = {}, {}
+    for g, s, v in sorted(rows, key=lambda r: r[1], reverse=descending):
+        total[g] = total.get(g, 0) + v
+        want[g, s] = total[g]
+    assert {(r["g"], r["s"]): r["cum_v"] for r in got.collect()} == want
+    assert got.columns == ["g", "s", "v", "cum_v"]
+
+
+def test_ranges_follow_the_rows(spark):
+    """Ten times the rows are ten times the ranges, not larger ones."""
+    sizes = []
+    for n in (2000, 20_000):
+        df = spark.range(n).select(F.rand(3).alias("s"), F.lit(1).alias("v"))
+        plan = running_totals(df, "s", ["v"], range_rows=500)._jdf.queryExecution().executedPlan().toString()
+        path = re.search(r"(file:[^\]]*ranges-[0-9a-f]+)", plan)[1]
+        rows = spark.read.parquet(path).groupBy("_range").count().collect()
+        sizes.append((len(rows), max(r["count"] for r in rows)))
+    assert sizes[1][0] > 5 * sizes[0][0] and sizes[1][1] < 3 * 500
