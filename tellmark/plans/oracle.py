@@ -7,7 +7,6 @@ grouping where the Spark side avoids them.
 from __future__ import annotations
 
 from tellmark import config as cfg
-from tellmark.functions.text import portable
 
 WS = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 
@@ -43,6 +42,13 @@ def matches(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {quoted('(?i)' + portable(pattern))})"
 
 
+def portable(pattern: str) -> str:
+    """White space, digits and a word's begin spelled out, since engines differ in what they take for them."""
+    if pattern.startswith(r"\b"):
+        return r"(?:^|[^\p{L}\p{N}_])" + portable(pattern[2:])
+    return pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", WS)
+
+
 def hash_number(h: str, digits: int = 8) -> str:
     return f"('0x' || substr({h}, 1, {digits}))::BIGINT"
 
@@ -528,22 +534,6 @@ def statements() -> dict[str, str]:
             SELECT id, split, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
         "param_grid": with_(CORPUS, SPLIT) + f"""SELECT g.*, t.n_rows, t.n_positive FROM ({_grid_rows()}) AS g(family, run, params),
             (SELECT count(*) AS n_rows, sum(y)::BIGINT AS n_positive FROM split WHERE split = 'train') t""",
-        **{
-            name: with_(CORPUS, SPLIT, TERMS) + f"""SELECT v.*, v.n_rows AS n_scored, t.*, (SELECT count(*) FROM vocab) AS n_features
-                FROM ({_totals("split = 'validation'")}) v, ({_totals("split = 'train'", "train_")}) t"""
-            for name in ("train_linear_svm", "train_rbf_svm", "train_boosted_trees")
-        },
-        "calibrate_scores": with_(CORPUS, SPLIT) + "SELECT id, y, true AS is_probability FROM split WHERE split = 'validation'",
-        "grid_search": with_(CORPUS, SPLIT) + f"""SELECT g.*, t.*, 4 AS n_points, 36 AS n_declared, true AS is_placed FROM (VALUES
-            ('svm', 1, '{{"C": 1.0, "kernel": "linear", "gamma": "scale", "class_weight": "balanced"}}'),
-            ('svm', 2, '{{"C": 1.0, "kernel": "rbf", "gamma": "scale", "class_weight": "balanced"}}'),
-            ('svm', 3, '{{"C": 10.0, "kernel": "linear", "gamma": "scale", "class_weight": "balanced"}}'),
-            ('svm', 4, '{{"C": 10.0, "kernel": "rbf", "gamma": "scale", "class_weight": "balanced"}}')) AS g(model, run, params),
-            ({_totals("split = 'validation'")}) t""",
-        "final_report": with_(CORPUS, SPLIT) + f"""SELECT 'svm' AS model, v.*, true AS is_searched, t.*
-            FROM ({_totals("split = 'test'")}) v, ({_totals("split <> 'test'", "train_")}) t""",
-        "model_comparison": with_(CORPUS, SPLIT) + f"""SELECT m.model, t.*, true AS has_validation
-            FROM (VALUES ('svm'), ('boosted_trees')) AS m(model), ({_totals("split = 'test'")}) t""",
         "threshold_grid": with_(LOGITS, RUNS) + f"SELECT model, run, threshold, tn, fp, fn, tp, {RATES_6} FROM runs",
         "leaderboard": with_(LOGITS, RUNS) + """SELECT model, run, threshold, round(f1, 6) AS f1,
             row_number() OVER (PARTITION BY model ORDER BY round(f1, 9) DESC, run) AS place FROM runs""",
@@ -573,10 +563,6 @@ def statements() -> dict[str, str]:
     }
 
 
-def _totals(where: str, prefix: str = "") -> str:
-    return f"SELECT count(*) AS {prefix}n_rows, sum(y)::BIGINT AS {prefix}n_positive FROM split WHERE {where}"
-
-
 def _grid_rows() -> str:
     """The declared grids written out, the last parameter fastest."""
     def rows(family: str, lists: list[tuple[str, list[str]]]) -> str:

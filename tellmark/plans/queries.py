@@ -527,11 +527,13 @@ def external_model_eval(spark, d):
 
 # ---- learners -------------------------------------------------------------
 
-#: What the queries train, so that they end in seconds; the operators' defaults are the full
-#: declared grids, all folds and iterations.
-SVM_POINTS = {"C": [1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale"], "class_weight": ["balanced"]}
-TREES_POINTS = {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}
-SVM = {"folds": 2, "dims": 2048, "max_iter": 15}
+#: One point of either family. Margin classifiers are also searched over all 36 declared points.
+LINEAR = {"C": 1.0, "kernel": "linear", "gamma": "scale", "class_weight": "balanced"}
+RBF = {"C": 10.0, "kernel": "rbf", "gamma": "scale", "class_weight": None}
+TREES = {
+    "n_estimators": 200, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 1, "reg_lambda": 1,
+}
+SEEDS = (42, 43, 44, 45, 46)
 
 
 def features(spark, d):
@@ -542,16 +544,11 @@ def totals(prefix=""):
     return [F.count(F.lit(1)).alias(f"{prefix}n_rows"), F.sum(F.col("y").cast("long")).alias(f"{prefix}n_positive")]
 
 
-def trained(spark, d, family, point, **options):
-    """Size and class totals of what a model learned from and scored, and how many scores are
-    probabilities; the scores themselves come from the operator."""
+def held_out_scores(spark, d, family, point):
+    """Scores of a model on the validation split."""
     feats = features(spark, d)
-    fitted = learn.TRAINERS[family](feats, feats.of("train"), point, **options)
-    scored = fitted.score(feats.of("validation")).agg(
-        *totals(), F.count_if(F.col("score").between(0, 1)).alias("n_scored")
-    )
-    learned = feats.of("train").agg(*totals("train_"))
-    return scored.crossJoin(learned).withColumn("n_features", F.lit(feats.size).cast("long"))  # one row each
+    fitted = learn.TRAINERS[family](feats, feats.of("train"), point)
+    return fitted.score(feats.of("validation")).select("id", "y", F.round("score", 6).alias("score"))
 
 
 @query
@@ -564,69 +561,59 @@ def tfidf_vectors(spark, d):
 
 @query
 def train_linear_svm(spark, d):
-    return trained(spark, d, "svm", {"C": 1.0, "kernel": "linear", "class_weight": "balanced"}, **SVM)
+    return held_out_scores(spark, d, "svm", LINEAR)
 
 
 @query
 def train_rbf_svm(spark, d):
-    return trained(
-        spark, d, "svm", {"C": 10.0, "kernel": "rbf", "gamma": "scale", "class_weight": "balanced"}, **SVM
-    )
+    return held_out_scores(spark, d, "svm", RBF)
 
 
 @query
 def train_boosted_trees(spark, d):
-    """All features, 10 trees (the declared grid starts at 200)."""
-    return trained(spark, d, "boosted_trees", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1})
+    """All features, 200 trees."""
+    return held_out_scores(spark, d, "boosted_trees", TREES)
 
 
 @query
 def calibrate_scores(spark, d):
+    """Margins of the validation split, the fitted sigmoid and the probability that it gives."""
     feats = features(spark, d)
-    fitted = learn.train_svm(feats, feats.of("train"), {"C": 1.0, "class_weight": "balanced"}, **SVM)
-    return fitted.score(feats.of("validation")).select("id", "y", F.col("score").between(0, 1).alias("is_probability"))
-
-
-def searched(board, points, declared):
-    """The exact part of a board, with how many of the declared points were searched."""
-    return board.select(
-        "model", "run", "params", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
-        (F.col("tp") + F.col("fn")).alias("n_positive"), F.lit(len(mx.grid_points(points))).alias("n_points"),
-        F.lit(len(mx.grid_points(declared))).alias("n_declared"), F.col("place").between(1, len(mx.grid_points(points))).alias("is_placed"),
-    )
+    fitted = learn.train_svm(feats, feats.of("train"), LINEAR)
+    a, b = (F.lit(float(x)) for x in fitted.ab[:, 0])
+    scored = fitted.score_all(fitted.score(feats.of("validation")), margin=True)
+    return scored.select("id", "y", F.round(F.element_at("scores", 1), 6).alias("margin"), F.round("score", 6).alias("score"), F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
 
 
 @query
 def grid_search(spark, d):
-    """4 of the 36 declared points; ``n_points`` and ``n_declared`` say so."""
-    return searched(learn.grid_search(features(spark, d), "svm", SVM_POINTS, **SVM), SVM_POINTS, cfg.SVM_GRID)
+    """All 36 declared points."""
+    return rounded(learn.grid_search(features(spark, d), "svm"))
 
 
 @query
 def final_report(spark, d):
-    """The winner of the search over 4 of the 36 declared points, refitted and scored once."""
+    """The winner of all 36 declared points, refitted and scored once."""
     feats = features(spark, d)
-    report = learn.final_report(feats, learn.grid_search(feats, "svm", SVM_POINTS, **SVM), **SVM)
-    learned = feats.of("train", "validation").agg(*totals("train_"))
-    return report.select(
-        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
-        (F.col("tp") + F.col("fn")).alias("n_positive"),
-        F.col("run").between(1, len(mx.grid_points(SVM_POINTS))).alias("is_searched"),
-    ).crossJoin(learned)  # one row each
+    return rounded(learn.final_report(feats, learn.grid_search(feats, "svm")))
 
 
 @query
 def model_comparison(spark, d):
-    """One searched point of either family."""
+    """All 36 declared margin classifiers beside one declared point of the trees."""
     feats = features(spark, d)
-    svm = learn.grid_search(feats, "svm", {**SVM_POINTS, "C": [1.0], "kernel": ["linear"]}, **SVM)
-    trees = learn.grid_search(feats, "boosted_trees", TREES_POINTS)
-    finals = learn.final_report(feats, svm, **SVM).unionByName(learn.final_report(feats, trees))
-    compared = mx.model_comparison(svm.unionByName(trees), finals.drop("run", "params"))
-    return compared.select(
-        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_positive"),
-        F.col("validation_f1").between(0, 1).alias("has_validation"),
-    )
+    svm = learn.grid_search(feats, "svm")
+    trees = learn.grid_search(feats, "boosted_trees", {k: [x] for k, x in TREES.items()})
+    finals = learn.final_report(feats, svm).unionByName(learn.final_report(feats, trees))
+    return rounded(mx.model_comparison(svm.unionByName(trees), finals.drop("run", "params")))
+
+
+@query
+def seed_models(spark, d):
+    """Mean and deviation of a linear margin classifier's test metrics over five splits."""
+    texts = v.corpus(spark, d).select("id", "y", "text")
+    runs = learn.seed_runs(texts, sp.stratified_splits(texts.select("id", "y"), SEEDS), LINEAR, SEEDS)
+    return rounded(mx.seed_summary(runs.withColumn("model", F.lit("linear_svm")), (*mx.METRICS, "roc_auc", "pr_auc")))
 
 
 # ---- scorer and stream ----------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from tellmark import config as cfg
 from tellmark.config import AttemptSpec, Design, ExampleSpec
+from tellmark.functions.text import word_ngrams
 from tellmark.operators import copying, design as ds, grading
 from tellmark.plans.views import TEMPLATES
 from tellmark.streaming import ingest
@@ -156,6 +157,23 @@ def test_ngram_copy(spark):
         assert [r["n_copied"] for r in got] == [plain(a, b, n) for a, b in pairs]
 
 
+def test_filter_drops_grams_before_they_move(spark):
+    """Beyond the broadcast limit only grams of the probe, and few others, leave the rows."""
+    corpus = spark.range(400).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(60)]).alias("text"))
+    probe = corpus.where("id % 100 = 0")
+    rows = copying.ngram_contamination(corpus, probe, "id", 3, max_bytes=0)
+    assert sorted((r["id"], r["n_matched"], r["n_grams"]) for r in rows.collect()) == [(i, 58, 58) for i in range(0, 400, 100)]
+    wanted = probe.select(F.explode(word_ngrams(F.col("text"), 3)).alias("g")).select(F.xxhash64("g").alias("gram")).distinct()
+    words, bits = copying.hash_filter(wanted, "gram")
+    grams = corpus.select(F.explode(word_ngrams(F.col("text"), 3)).alias("g")).select(F.xxhash64("g").alias("gram")).crossJoin(F.broadcast(words))
+    passed = grams.where(copying.may_hold(F.col("words"), bits, F.col("gram"))).count()
+    assert 4 * 58 <= passed <= 4 * 58 + 400 * 58 * 0.02
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("filter(") and "getbit" in plan.lower()
+    small, few = copying.hash_filter(wanted, "gram", most_bytes=8)
+    assert few == 64 and grams.drop("words").join(wanted, "gram").crossJoin(F.broadcast(small)).where(~copying.may_hold(F.col("words"), few, F.col("gram"))).isEmpty()
+
+
 def test_contamination_with_a_hot_gram_is_the_same_salted(spark):
     corpus = spark.createDataFrame([(i, "one two three " + str(i % 5)) for i in range(60)], "id long, text string")
     probe = spark.createDataFrame([("zero one two three",), ("two three 4",)], "text string")
