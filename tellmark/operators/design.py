@@ -368,3 +368,32 @@ def replay_check(
             *([F.when(single, F.col("_aspects")).alias("n_aspects_ok")] if with_aspects else []),
         )
     )
+
+
+#: What a prompt is made of, in the order of its making.
+STEPS = ("item", "opener", "aspects", "examples", "prompt")
+
+
+def step_chain(rows: DataFrame, out: str = "chain") -> DataFrame:
+    """Add the hashes of the steps of a row of `prompt_table`, each over the step and the hash before it: a row
+    recorded with its chain tells later which step first came out otherwise. Absent values differ from empty ones."""
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    aspects = F.coalesce(F.concat(F.lit("="), F.array_join("aspects", "\n")), F.lit("-"))
+    parts = [text("item"), text("opener_move"), aspects, F.concat_ws("\n", text("real_id"), text("fake_id")), F.concat_ws("\n", text("system"), text("user"))]
+    steps = F.array(*parts)
+    start = F.array().cast("array<string>")
+    chained = F.aggregate(
+        steps, start, lambda done, step: F.concat(done, F.array(F.md5(F.concat_ws("\n", F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), step))))
+    )
+    return rows.withColumn(out, chained)
+
+
+def replay_prompts(recorded: DataFrame, again: DataFrame, keys: tuple[str, ...] = ("cell_id", "rep_index")) -> DataFrame:
+    """Rows of ``recorded`` (``keys`` and ``chain``) with ``first_difference``: the first step at which the recomputed
+    row differs, an empty text where none does, ``missing`` where there is no such row. The chains alone are joined."""
+    known = again.select(*keys, F.col("chain").alias("_again"))
+    pairs = F.zip_with("chain", "_again", lambda a, b: ~a.eqNullSafe(b))
+    place = F.array_position(pairs, F.lit(True))
+    names = F.array(*[F.lit(s) for s in STEPS])
+    first = F.when(F.col("_again").isNull(), F.lit("missing")).when(place > 0, F.get(names, (place - 1).cast("int"))).otherwise(F.lit(""))
+    return recorded.select(*keys, "chain").join(known, list(keys), "left").select(*keys, first.alias("first_difference"))

@@ -522,6 +522,8 @@ def statements() -> dict[str, str]:
                    count(*) FILTER (g.opener_move = {move_draw("'12'", 'g.cell_id', 'g.rep_index')}) AS n_opener_ok
             FROM gen g JOIN s ON s.cell_id = g.cell_id JOIN items i ON i.ix = (s.start + g.rep_index) % (SELECT count(*) FROM items)
             GROUP BY g.cell_id""",
+        "replay_prompts": with_(MANIFEST) + """SELECT cell_id, rep_index, CASE rep_index % 8 WHEN 1 THEN 'item' WHEN 2 THEN 'opener'
+            WHEN 3 THEN 'aspects' WHEN 4 THEN 'examples' WHEN 5 THEN 'prompt' ELSE '' END AS first_difference FROM manifest""",
         "prompt_table": with_(CORPUS, MANIFEST, ASPECTS, POOL, PICKS, PROMPTS) + 'SELECT cell_id, rep_index, system, "user" FROM prompts',
         "split_assignment": with_(CORPUS, SPLIT) + "SELECT id, split FROM split",
         "split_counts": with_(CORPUS, SPLIT) + "SELECT y, split, count(*) AS n_rows FROM split GROUP BY y, split",

@@ -415,6 +415,13 @@ def replay_check(spark, d):
     return ds.replay_check(v.generated_rows(spark, d), items, v.DESIGN, spark)
 
 
+@query
+def replay_prompts(spark, d):
+    """Recorded prompts, some of which differ in one step, against the plan."""
+    recorded = ds.step_chain(v.recorded_prompts(spark, d))
+    return ds.replay_prompts(recorded, ds.step_chain(v.prompts(spark, d)))
+
+
 @query
 def prompt_table(spark, d):
     return v.prompts(spark, d).select("cell_id", "rep_index", "system", "user")

@@ -120,6 +120,19 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.prompt_table(ds.pick_examples(rows, pool, texts, DESIGN.seed), TEMPLATES, DESIGN)
 
 
+def recorded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned prompts as a collection may have recorded them: by the number of a repetition one step differs."""
+    kind = F.col("rep_index") % 8
+    return (
+        prompts(spark, sf_dir)
+        .withColumn("item", F.when(kind == 1, F.concat("item", F.lit(" II"))).otherwise(F.col("item")))
+        .withColumn("opener_move", F.when(kind == 2, F.lit("none of them")).otherwise(F.col("opener_move")))
+        .withColumn("aspects", F.when(kind == 3, F.array(F.lit("none"))).otherwise(F.col("aspects")))
+        .withColumn("real_id", F.when(kind == 4, F.lit(-1)).otherwise(F.col("real_id")))
+        .withColumn("user", F.when(kind == 5, F.concat("user", F.lit(" "))).otherwise(F.col("user")))
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as successive attempts at one sample."""
     conv = F.col("conv_id")

@@ -261,3 +261,17 @@ def test_blank_category_counts_once_in_the_whole_pool(spark):
     spec = cfg.ExampleSpec(real_source_by_sentiment={"positive": "en"}, fake_source="en")
     pool = ds.example_pool(corpus, spec).where("length = 'short'").collect()
     assert sorted(r["id"] for r in pool) in ([1], [2], [1, 2]) and {r["size"] for r in pool} == {len(pool)}
+
+
+def test_chain_names_the_first_step_that_differs(spark):
+    schema = "cell_id string, rep_index int, item string, opener_move string, aspects array<string>, real_id long, fake_id long, system string, user string"
+    row = ("c", 0, "a", "o", ["x", "y"], 1, None, "s", "u")
+    plan = spark.createDataFrame([row, (*row[:1], 1, *row[2:])], schema)
+    other = [
+        ("item", (*row[:2], "b", *row[3:])), ("item", (*row[:2], None, "p", *row[4:])), ("opener", (*row[:3], "p", *row[4:])),
+        ("aspects", (*row[:4], ["x"], 2, *row[6:])), ("aspects", (*row[:4], None, *row[5:])), ("examples", (*row[:6], 5, "t", "u")),
+        ("prompt", (*row[:7], None, "u")), ("prompt", (*row[:8], "")), ("", row), ("missing", ("d", *row[1:])),
+    ]
+    for want, recorded in other:
+        got = ds.replay_prompts(ds.step_chain(spark.createDataFrame([recorded], schema)), ds.step_chain(plan)).collect()
+        assert [r["first_difference"] for r in got] == [want]
