@@ -32,10 +32,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tel
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, a
-    folder under the warehouse, which all executors reach as well."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it names none, a local session
+    takes a folder under its warehouse; a cluster's executors may not reach that, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tellmark-shared"
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tellmark-shared"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

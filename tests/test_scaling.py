@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tellmark import session
 from tellmark.plans import scaling
 from tellmark.plans.scaling import exact_rank, frame_bytes, guarded_join, rank_cuts, running_totals
 
@@ -81,3 +82,18 @@ def test_ranges_follow_the_rows(spark):
         rows = spark.read.parquet(path).groupBy("_range").count().collect()
         sizes.append((len(rows), max(r["count"] for r in rows)))
     assert sizes[1][0] > 5 * sizes[0][0] and sizes[1][1] < 3 * 500
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, key, default=None):
+            return default if key == "spark.checkpoint.dir" else "/w"
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("C", (), {"master": master})
+
+    assert session.shared_dir(Session("local[4]")) == session.shared_dir(Session("local")) == "/w/tellmark-shared"
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session(master))
