@@ -3,6 +3,7 @@ to the shared folder; ``scratch_path`` names a folder there."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -73,7 +74,9 @@ def rewritten(rows: DataFrame, before: T.StructType, text: str, inputs: list[str
                 new, *further = [pa.concat_arrays(parts) for parts in made]
                 old = iter(range(len(names)))
                 kept = [new if f.name == text else batch.column(next(old)) for f in before.fields]
+                made = parts = None
                 yield pa.RecordBatch.from_arrays([*kept, *further], schema=out)
+        drop_state()
 
     return source.mapInArrow(run, schema)
 
@@ -86,6 +89,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that is free but still held by a worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # C libraries other than GNU's have none
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
     """A column of texts in consecutive runs of about ``limit`` bytes: bounds and values. Only one
     run at a time exists as Python objects."""
@@ -98,6 +109,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield begin, end, column.slice(begin, end - begin).to_pylist()
         begin = end
+    release()
 
 
 def take_ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -162,10 +174,17 @@ def worker_state(key, make: Callable):
     is kept, so the operators of several stages do not add up in a worker that Spark reuses."""
     if key not in _state:
         _state.clear()
+        release()
         _state[key] = make()
     return _state[key]
 
 
+def drop_state() -> None:
+    """Forget it at the end of a task, so that an idle worker holds none of it."""
+    _state.clear()
+    release()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The groups of a partition sorted by ``key``, each as one table, across batch borders."""
     held: list[pa.RecordBatch] = []

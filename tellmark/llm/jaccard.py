@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import arrow, free_name, join_checked, slices, stored, worker_state
+from tellmark.llm.common import arrow, drop_state, free_name, join_checked, slices, stored, worker_state
 from tellmark.llm.components import components, merge_labels
 from tellmark.llm.substrings import Rolling
 
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 1, rows: int =
                     [pa.array(ids[a:b]), *map(pa.array, keys), pa.array(size.astype(np.int32)), lists.cast(out.field(4).type)],
                     schema=out,
                 )
+        drop_state()
 
     return source.mapInArrow(run, schema)
 
@@ -154,6 +155,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int, text: str, key: str) -
                 grams = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in some[right].tolist()]
                 part = part.filter(pa.array(right))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("blk", "rep", "m")], pa.array(grams, pa.binary())], schema=out)
+        drop_state()
 
     return source.mapInArrow(run, schema)
 

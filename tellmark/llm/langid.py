@@ -16,19 +16,17 @@ first. Without anything to learn from, every text is ``und``. Rows that repeat a
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellmark.llm.common import WordTable, arrow, boxed, rewritten, slices, sums_between, worker_state
+from tellmark.llm.common import WordTable, arrow, boxed, drop_state, rewritten, slices, sums_between, worker_state
 
 DEPTH = 4
 SAMPLE_DOCS = 400
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample_per_class(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
@@ -170,6 +168,7 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *_classify(trees, table, texts)], schema=out
                 )
+        drop_state()
 
     return source.mapInArrow(run, schema)
 
@@ -191,7 +190,7 @@ def _word_costs(trees: Trees) -> WordTable:
 
 
 def _classify(trees: Trees | None, table: WordTable | None, texts: list) -> list[pa.Array]:
-    some = np.array([trees is not None and t is not None and bool(LETTER.search(t)) for t in texts], bool)
+    some = np.array([trees is not None and t is not None and any(map(str.isalpha, t)) for t in texts], bool)
     names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if some.any():
         own = [_words(texts[i]) for i in np.flatnonzero(some)]

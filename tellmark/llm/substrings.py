@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, join_checked, rewritten, slices, stored, worker_state
+from tellmark.llm.common import BROADCAST_BYTES, WordTable, arrow, boxed, drop_state, join_checked, rewritten, slices, stored, worker_state
 
 WINDOW = 20
 #: Windows that one bucket holds on average.
@@ -192,7 +192,10 @@ def _requests(rows: DataFrame, window: int, buckets: int, groups: int) -> DataFr
                 for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
                     at = kept[order[x:y]]
                     found.append((int(bucket[order[x]]), h[at].tobytes(), *_pack(key[at], part_of[at], start[at])))
+                own = doc = start = place = h = spread = key = part_of = kept = later = bucket = order = None
                 yield pa.RecordBatch.from_arrays(_columns(found, out), schema=out)
+                found = None
+        drop_state()
 
     return rows.mapInArrow(run, schema)
 

@@ -61,14 +61,14 @@ def test_held_out_accuracy(spark):
 
 @pytest.mark.parametrize("learned", [True, False])
 def test_odd_texts(spark, learned):
-    texts = [None, "", "  \n", "123 !!", "the", "é", "\x00", "the house " * 20000, "the house", "the house"]
+    texts = [None, "", "  \n", "123 !!", "the", "é", "\x00", "the house " * 20000, "the house", "the house", "½ 12", "² ①"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string")
     seen = [("the house is big", "en"), ("la maison est là", "fr"), (None, "fr"), ("nothing", None)]
     known = spark.createDataFrame([(i, *r) for i, r in enumerate(seen if learned else [])], "doc_id long, text string, lang string")
     trees = langid.train(known)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, trees).collect()}
     assert len(got) == len(texts)
-    assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 3, 6))
+    assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 3, 6, 10, 11))
     if learned:
         assert got[4][0] == got[7][0] == "en" and got[8] == got[9]
         more = langid.attach(df, trees)
