@@ -8,6 +8,8 @@ near-duplicate stage knows texts of null and of shared ids by a number.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +20,22 @@ from tellmark.llm.common import boxed, free_name, join_checked, scratch_path, st
 #: against plain versions.
 ORACLE_SQL = None
 
+#: Rows that pass to a Python worker at once in all stages: whole texts and all columns, so a few megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    """A stage under ``BATCH_ROWS``. Workers and executors hold several copies of a batch, and the settings that
+    a write sees are those of its session, so it stays set."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        least = min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(least if least > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without letters. The models learn
@@ -61,11 +79,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", language),
-    ("lines", line_dedup),
-    ("near_duplicates", near_dedup),
-    ("substrings", substring_dedup),
-    ("packing", packed),
+    ("language", small_batches(language)),
+    ("lines", small_batches(line_dedup)),
+    ("near_duplicates", small_batches(near_dedup)),
+    ("substrings", small_batches(substring_dedup)),
+    ("packing", small_batches(packed)),
 ]
 
 
