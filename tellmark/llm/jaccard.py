@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tellmark.llm.common import arrow, drop_state, free_name, join_checked, slices, stored, worker_state
+from tellmark.llm.common import arrow, drop_state, free_name, join_checked, release, slices, stored, worker_state
 from tellmark.llm.components import components, merge_labels
 from tellmark.llm.substrings import Rolling
 
@@ -43,7 +43,7 @@ MOST_HASHES = 256
 BLOCK_ROWS = 512
 BLOCK_GRAMS = 500_000
 #: Columns of a 0/1 matrix held at once.
-PART = 16384
+PART = 8192
 SEED = 7
 
 
@@ -212,6 +212,8 @@ def _verified(tile_blocks: DataFrame, threshold: float) -> DataFrame:
         use = (i < j) & (same or (side[i] != side[j]))
         i, j = i[use], j[use]
         n = len(ids)
+        both = sets = None
+        release()
         counts = np.bincount(i, m[j], n).astype(np.int64) + np.bincount(j, m[i], n).astype(np.int64)
         label = merge_labels(np.arange(n), i, j)
         some, joined = np.flatnonzero(counts), np.flatnonzero(label != np.arange(n))
