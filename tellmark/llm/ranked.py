@@ -44,6 +44,8 @@ NO_ID = -(1 << 63)
 
 #: Bytes to their place in a term: A to Z lowered, all that is no part of a term a space.
 _PLAIN = bytes(b if re.match(TERM, chr(b)) else 32 for b in range(128)).lower() + bytes(range(128, 256))
+#: Bytes to 120 where they are part of a term, others a space.
+_MARKED = bytes(32 if b == 32 else 120 for b in _PLAIN)
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -54,16 +56,30 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+def n_terms(text: str) -> int:
+    """How many terms a text has: each begins after a byte that is part of none."""
+    return (b" " + text.encode().translate(_MARKED)).count(b" x")
+
+
+def totals(docs: DataFrame, text: str = "text", unit_bytes: int = UNIT_BYTES) -> tuple[int, int]:
     """N and L."""
-    n = F.regexp_count(text, F.lit(TERM))
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    return row[0], row[1] or 0
+    schema = "docs long, terms long"
+    out = arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0), unit_bytes):
+                n = [k for k in map(n_terms, texts) if k]
+                yield pa.RecordBatch.from_pydict({"docs": [len(n)], "terms": [sum(n)]}, schema=out)
+
+    rows = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+    row = rows.agg(F.sum("docs"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id", unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, int, int]:
     """The index (stored, a row per unit), N and L. Arrays are little-endian binary columns."""
-    total_docs, total_terms = totals(docs, text)
+    total_docs, total_terms = totals(docs, text, unit_bytes)
     schema = "ids binary, m binary, stratum binary, terms binary, bounds binary, tf binary, doc binary"
     out = arrow(schema)
 

@@ -72,3 +72,19 @@ def test_empty_tables(spark):
     assert ranked.search(ranked.build(d), i).collect() == []
     d, i = frame(spark, [(1, "a")], [])
     assert ranked.search(ranked.build(d), i).collect() == []
+
+
+def test_counting_terms_leaves_the_text_to_bytes(spark):
+    texts = [t for _, t in random_texts(3, 200, 30)] + ["", " - ", "a", "Zß9", "\u00a0", "x\u2028y", "a\x7fb", "\U0001f600 é", "-é", "end-"]
+    assert [ranked.n_terms(t) for t in texts] == [len(TERM.findall(t)) for t in texts]
+    d, _ = frame(spark, [*enumerate(texts), (None, None)], [(1, "a")])
+    plans = []
+    explained = type(d).agg
+    try:
+        type(d).agg = lambda self, *c: plans.append(self._jdf.queryExecution().toString()) or explained(self, *c)
+        got = ranked.totals(d, unit_bytes=100)
+    finally:
+        type(d).agg = explained
+    n = [len(TERM.findall(t)) for t in texts]
+    assert got == (sum(k > 0 for k in n), sum(n))
+    assert plans and not any("regexp" in p for p in plans)  # a regex over every text cost ten times the index
