@@ -168,3 +168,22 @@ def test_parse_verdict(spark):
 def test_code_point_and_output_tag(spark):
     assert run(spark, ["中", "A"], tx.code_point) == ["4E2D", "41"]
     assert run(spark, ["a:b/c"], tx.output_tag) == ["a_b_c"]
+
+
+def test_fold_takes_a_batch_in_slices(monkeypatch):
+    """A whole Arrow batch as Python strings, twice, was most of a worker's memory."""
+    import unicodedata
+
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+
+    from tellmark.functions import udfs
+
+    texts = ["é", None, "", "ﬁn…½", "a\u0301b", "한국어", "plain", None, "ß“”", "\U0001d400"] * 3
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    for rows in (1, 4, 30, 1000):
+        monkeypatch.setattr(udfs, "FOLD_ROWS", rows)
+        assert udfs.folded(pa.array(texts, pa.string())).to_pylist() == want
+        assert udfs.folded(pa.array(texts, pa.string()).slice(3, 9)).to_pylist() == want[3:12]
+    assert udfs.folded(pa.array([], pa.string())).to_pylist() == [] and udfs.folded(pa.array([None], pa.string())).to_pylist() == [None]
+    assert udfs._fold.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
