@@ -102,7 +102,7 @@ def test_rows_that_share_an_id_leave_one(spark):
 def test_queries_are_registered():
     assert sorted(queries.QUERIES) == sorted(
         f"op{n}_{name}" for n, name in enumerate(
-            ["language_id", "substrings", "warc", "neighbours", "jaccard", "toxicity", "pieces", "near_duplicates", "lines", "packing"], 1
+            ["language_id", "substrings", "warc", "neighbours", "jaccard", "toxicity", "pieces", "near_duplicates", "lines", "packing", "prefixes", "language_model", "ranked"], 1
         )
     )
     assert np.all([callable(q) for q in queries.QUERIES.values()])
